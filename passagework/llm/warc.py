@@ -62,27 +62,31 @@ def http_block(payload: bytes, page_id: int | None) -> bytes:
 
 def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), id_col: str = "page_id", url: str = "url", html: str = "html") -> None:
     """ARC archives (gzip) of the rows' pages; the versions take turns by archive."""
-    total = pages.agg(F.sum(F.octet_length(F.coalesce(F.col(html), F.lit(""))) + 300)).first()[0] or 0
-    archives = max(1, -(-int(total) // ARCHIVE_BYTES))
+    size = F.octet_length(F.coalesce(F.col(html), F.lit(""))) + 300
+    total = pages.agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    # the writer starts a file at every so many records; the first of each is a version block
+    each = max(2, int(total["rows"] * ARCHIVE_BYTES / max(1, total["bytes"] or 0)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        k = TaskContext.get().partitionId()
-        version, name = versions[k % len(versions)], f"pages-{k:06d}.arc"
-        head = arc_version_block(name, version)
-        yield pa.RecordBatch.from_arrays([pa.array([head.removesuffix("\n")], pa.string())], ["value"])
-        offset = len(head)
+        k, made, offset = TaskContext.get().partitionId(), 0, 0
+        version, name = versions[k % len(versions)], "-"
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 out = []
                 for page_id, target, body in zip(*(c.to_pylist() for c in b.slice(i, 256).columns), strict=True):
+                    if made % each == 0:
+                        name = f"pages-{k:06d}-{made // each:06d}.arc"
+                        head = arc_version_block(name, version)
+                        offset, made = len(head), made + 1
+                        out.append(head.removesuffix("\n").encode())
                     out.append(arc_record(target, http_block((body or "").encode(), page_id), version, CAPTURED, offset, name))
-                    offset += len(out[-1]) + 1
+                    offset, made = offset + len(out[-1]) + 1, made + 1
                 yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in out], pa.string())], ["value"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url).alias("u"), F.col(html).alias("h"))
-    rows.repartition(archives).mapInArrow(encode, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.mapInArrow(encode, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
 
 
 def unzipped(data: bytes) -> bytes:
@@ -191,38 +195,46 @@ def warc_record(kind: str, url: str | None, ip: str | None, date: str | None, ht
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def convert(records: DataFrame, path: str) -> None:
-    """WARC archives (gzip) of the records of read_arc. Of records with equal payloads of LEAST_REVISIT bytes or more, that
-    with the smallest page id (none: last), then place, is the response; the others revisit it.
+def convert(spark, arc: str, warc: str) -> None:
+    """WARC archives (gzip) of the ARC archives under `arc`. Of records with equal payloads of LEAST_REVISIT bytes or more,
+    that with the smallest page id (none: last), then place, is the response; the others revisit it.
 
-    The first of each payload is found from rows without payloads, with partial sums before the shuffle; the join that
-    gives it back is one that Spark may split where a payload is very frequent.
+    The first of each payload is found from rows without payloads, with partial sums before the shuffle. What the records
+    of an archive revisit goes to that archive, still compressed, so payloads are never shuffled by themselves.
     """
-    rows = records.where(F.col("kind") == "record")
+    rows = read_arc(spark, arc).where(F.col("kind") == "record")
     page = http_header(F.col("http"), "X-Page-Id").cast("long")
     place = F.struct(page.isNull().alias("none"), page.alias("page"), "archive", "offset")
-    keyed = rows.withColumn("place", place).withColumn("key", F.when(F.octet_length("payload") >= LEAST_REVISIT, F.col("digest")))
-    first = keyed.where(F.col("key").isNotNull()).groupBy(F.col("key").alias("fkey")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = keyed.join(first, F.col("key") == F.col("fkey"), "left")
-    revisit = F.col("first").isNotNull() & (F.col("first") != F.col("place"))
-    wanted = joined.select(
-        F.when(revisit, "revisit").otherwise("response").alias("kind"), "url", "ip", "date", "http", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest",
-        F.concat_ws("/", "archive", "offset").alias("at"), F.when(revisit, F.concat_ws("/", "first.archive", "first.offset")).alias("first_at"),
-    )
+    keyed = rows.where(F.octet_length("payload") >= LEAST_REVISIT).select("digest", place.alias("place"))
+    first = keyed.groupBy(F.col("digest").alias("fdigest")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = keyed.join(first, F.col("digest") == F.col("fdigest")).where(F.col("place") != F.col("first"))
+    at = F.struct(F.col("place.offset").alias("offset"), F.concat_ws("/", "first.archive", "first.offset").alias("first_at"))
+    revisits = later.groupBy(F.col("place.archive").alias("of")).agg(F.collect_list(at).alias("revisits"))  # as many as an archive has records
+    archives = files(spark, arc).withColumn("archive", F.substring_index("path", "/", -1))
+    wanted = archives.join(revisits, F.col("archive") == F.col("of"), "left").select("archive", "content", "revisits")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                out = []
-                for r in b.slice(i, 256).to_pylist():
+            for name, content, later in zip(*b.columns, strict=True):
+                of = {x["offset"]: x["first_at"] for x in later.as_py() or ()}
+                out, size = [], 0
+                for r in parse_arc(unzipped(content.as_py()), name.as_py()):
+                    if r["kind"] != "record":
+                        continue
                     # the digest is the content's, the place in the old archive tells equal captures apart
-                    own = record_id(r["digest"], r["at"])
-                    first_id = record_id(r["digest"], r["first_at"]) if r["first_at"] else None
-                    out.append(warc_record(r["kind"], r["url"], r["ip"], r["date"], r["http"] or "", r["payload"] or b"", r["digest"], own, first_id))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    first_at = of.get(r["offset"])
+                    first_id = record_id(r["digest"], first_at) if first_at else None
+                    own = record_id(r["digest"], f"{r['archive']}/{r['offset']}")
+                    out.append(warc_record("revisit" if first_at else "response", r["url"], r["ip"], r["date"], r["http"], r["payload"], r["digest"], own, first_id))
+                    size += len(out[-1])
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                        out, size = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     made = wanted.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
-    made.write.option("lineSep", WARC_END).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    made.write.option("lineSep", WARC_END).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(warc)
 
 
 def parse_warc(data: bytes, archive: str = "") -> Iterator[dict]:
@@ -273,7 +285,7 @@ def pages_through_archives(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
-    convert(read_arc(spark, arc), warc)
+    convert(spark, arc, warc)
     page = http_header(F.col("http"), "X-Page-Id").cast("long")
     length = F.coalesce(http_header(F.col("http"), "Content-Length").cast("long"), F.octet_length("payload").cast("long"))
     got = read_warc(spark, warc).select(
