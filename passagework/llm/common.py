@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Buckets over which gapless ranks are counted; fixed, so their table has a known size.
 RANK_BUCKETS = 4096
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: What separates words: space and the ASCII controls 9 to 13.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -45,10 +47,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write are removed when it is over, not whenever the driver next collects its garbage.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def gapless_rank(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
