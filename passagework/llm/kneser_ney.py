@@ -121,7 +121,7 @@ def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, kind, doc_id, text, lang, gram, p) sorted by block and kind: kind 0 probabilities, kind 1 documents."""
+    """Rows (block, kind, doc_id, text, lang, gram, p, key) sorted by block and kind: kind 0 probabilities, kind 1 documents."""
     block, keys, logs, table = None, [], [], None
     for batch in batches:
         blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -149,13 +149,13 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums = np.concatenate([[0.0], np.cumsum(value[inverse])])
                 bits = -(sums[at[1:]] - sums[at[:-1]])
                 ppl = np.where(n > 0, np.exp2(bits / np.maximum(n, 1)), np.nan)
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(4), pa.array(n, pa.int64()), pa.array(ppl, mask=n == 0)], ["doc_id", "lang", "n_bytes", "perplexity"])
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(7), part.column(4), pa.array(n, pa.int64()), pa.array(ppl, mask=n == 0)], ["doc_id", "key", "lang", "n_bytes", "perplexity"])
 
 
 def perplexities(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (per byte) of every row, and whether it is trusted."""
+    """doc_id, key (xxhash64 of the text), lang, n_bytes, perplexity (per byte) of every row, and whether it is trusted."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id"), F.lit(max(16, -(-size // BLOCK_BYTES)))).cast("int").alias("block")
     trusted = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast(kind).alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
@@ -165,10 +165,10 @@ def perplexities(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     p = probabilities(counts)
     back = needed.select("block", "gram").join(p, "gram")
     empty = [F.lit(None).cast(t).alias(n) for n, t in (("doc_id", kind), ("text", "string"), ("lang", "string"))]
-    tables = back.select("block", F.lit(0).alias("kind"), *empty, "gram", "p")
-    texts = docs.select(block, F.lit(1).alias("kind"), "doc_id", "text", "lang", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("p"))
+    tables = back.select("block", F.lit(0).alias("kind"), *empty, "gram", "p", F.lit(None).cast("long").alias("key"))
+    texts = docs.select(block, F.lit(1).alias("kind"), "doc_id", "text", "lang", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("p"), "key")
     summed = texts.unionByName(tables).repartition("block").sortWithinPartitions("block", "kind")
-    scored = materialize(summed.mapInArrow(_sum_up, f"doc_id {kind}, lang string, n_bytes long, perplexity double"), "perplexities")
+    scored = materialize(summed.mapInArrow(_sum_up, f"doc_id {kind}, key long, lang string, n_bytes long, perplexity double"), "perplexities")
     sure = trusted.select(F.col("doc_id").alias("t_id"))
     return scored.join(sure, F.col("doc_id") == F.col("t_id"), "left").withColumn("trusted", F.col("t_id").isNotNull()).drop("t_id")
 
@@ -189,9 +189,17 @@ def threshold_of(cuts: dict[str | None, float], common: float, lang: Column) ->
     return out
 
 
+def keep_accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of df, all columns, that are not rejected."""
+    scored = quality(df, labels, id_col, text, lang)
+    rejected = scored.where("not accepted").select(F.col("doc_id").alias("_r_id"), F.col("key").alias("_r_key"))
+    on = F.col(id_col).eqNullSafe(F.col("_r_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_r_key"))
+    return df.join(rejected, on, "left_anti")
+
+
 def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, threshold, accepted for every row."""
+    """doc_id, key (xxhash64 of the text), lang, n_bytes, perplexity, threshold, accepted for every row."""
     scored = materialize(perplexities(df, labels, id_col, text, lang), "scored")
     cut = threshold_of(*thresholds(scored, quantile, slack), F.col("lang"))
     beyond = F.col("n_bytes") * (F.log2("perplexity") - F.log2(cut))
-    return scored.select("doc_id", "lang", "n_bytes", "perplexity", cut.alias("threshold"), F.coalesce(beyond <= MARGIN, F.lit(False)).alias("accepted"))
+    return scored.select("doc_id", "key", "lang", "n_bytes", "perplexity", cut.alias("threshold"), F.coalesce(beyond <= MARGIN, F.lit(False)).alias("accepted"))

@@ -60,7 +60,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
