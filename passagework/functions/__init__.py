@@ -1 +1 @@
-"""See the package README."""
+"""Scalar functions as native column expressions."""

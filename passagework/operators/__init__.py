@@ -1 +1 @@
-"""See the package README."""
+"""Relational and text operators."""

@@ -1 +1 @@
-"""See the package README."""
+"""Where documents, embeddings and registries come from and go to."""

@@ -1 +1 @@
-"""See the package README."""
+"""Continuous embedding jobs on Structured Streaming."""
