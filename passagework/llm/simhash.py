@@ -265,7 +265,7 @@ def _probes(distinct: DataFrame, tau: int) -> DataFrame:
     rows = None
     for i, (part, t) in enumerate(choose_partitions(distinct, tau)):
         key = F.col("fp").bitwiseAND(F.lit(_signed(_mask(part))))
-        keys = F.array(key) if not t else F.transform(F.array(*[F.lit(x) for x in _flips(part, 0, t)]), lambda x, key=key: key.bitwiseXOR(x))
+        keys = F.array(*[key.bitwiseXOR(F.lit(x)) for x in _flips(part, 0, t)])
         own = distinct.select(F.lit(i).alias("part"), F.explode(keys).alias("key"), "fp")
         rows = own if rows is None else rows.unionByName(own)
     return rows
