@@ -45,7 +45,8 @@ def manhattan(a: Column, b: Column) -> Column:
 
 
 def angular(a: Column, b: Column) -> Column:
-    return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine(a, b)))) / F.pi()
+    cos = cosine(a, b)
+    return F.when(cos.isNotNull(), F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos))) / F.pi())
 
 
 def chebyshev(a: Column, b: Column) -> Column:

@@ -113,10 +113,10 @@ def parse(files: DataFrame, c: ParseConfig | None = None, extract: PageExtractor
     ext = file_type(F.col(name))
     plain = F.when(ext.isin(TEXT_TYPES), lossy_utf8(F.col(content)))
     docx = docx_column(F.when(ext == "docx", F.col(content)))
-    pdf = paged_text(pdf_pages(F.when(ext == "pdf", F.col(content)), extract), c) if extract else F.lit(None).cast("string")
-    out = files.withColumn("_ext", ext).withColumn("text", F.coalesce(plain, docx, pdf))
+    pages = pdf_pages(F.when(ext == "pdf", F.col(content)), extract) if extract else F.lit(None).cast("array<string>")
+    out = files.withColumn("_ext", ext).withColumn("_pages", pages).withColumn("text", F.coalesce(plain, docx, paged_text(F.col("_pages"), c)))
     error = F.when(F.col("_ext").isNull(), "unsupported file type").when(F.col("text").isNull(), F.when((F.col("_ext") == "pdf") & F.lit(extract is None), "no PDF extractor").otherwise("empty output"))
-    return out.withColumn("error", error).drop("_ext", content)
+    return out.withColumn("error", error).drop("_ext", "_pages", content)
 
 
 def require_type(name: str) -> str:

@@ -1,6 +1,7 @@
 """Services over a registry: documents (store, parse, chunk) and vectors (collections, embeddings, search).
 
-A service holds the present Registry and replaces it with each change; with a RegistryStore every change is published.
+A service holds the present Registry; each change is written and published by its RegistryStore, so no plan grows with
+the number of changes.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ class Services:
     """Shared state: the registry, its storage, and the providers."""
 
     def __init__(self, spark: SparkSession, stores: Providers[FolderStore], embedders: Providers[Embedder], vector_stores: list[str], registry: R.Registry | None = None, storage: RegistryStore | None = None, extract: PageExtractor | None = None):
-        self.spark, self.stores, self.embedders, self.vector_stores, self.storage, self.extract = spark, stores, embedders, vector_stores, storage, extract
+        self.spark, self.stores, self.embedders, self.vector_stores, self.extract = spark, stores, embedders, vector_stores, extract
+        self.storage = storage or RegistryStore(spark)
         self.registry = registry or R.Registry.empty(spark)
         self.documents, self.vectors = DocumentService(self), VectorService(self)
 
     def publish(self, r: R.Registry) -> None:
-        self.registry = self.storage.save(r) if self.storage else r
+        self.registry = self.storage.save(r)
 
     def info(self) -> dict:
         """Providers, models with their dimensions, default chunkers."""

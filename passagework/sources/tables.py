@@ -5,6 +5,7 @@ Vectors are partitioned by collection, so a search or a removal reads one collec
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,9 +14,15 @@ from ..errors import NotFound
 from ..operators.registry import SCHEMAS, Registry
 
 
+def new_base(spark: SparkSession) -> str:
+    """A folder for a registry in the one that spark.checkpoint.dir names, or in a local one where that is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="passagework-")
+    return f"{shared.rstrip('/')}/registry-{uuid.uuid4().hex}"
+
+
 class RegistryStore:
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+    def __init__(self, spark: SparkSession, base: str | None = None):
+        self.spark, self.base = spark, (base or new_base(spark)).rstrip("/")
 
     def _fs(self):
         jvm = self.spark._jvm
