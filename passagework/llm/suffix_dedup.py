@@ -129,9 +129,9 @@ def _merge_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     def solve() -> None:
         rows = [r for g in waiting for r in g]
         starts: dict[int, np.ndarray] = {}
-        if rows:
-            string, offset = repeated_starts([r[2] for r in rows], np.array([r[3] for r in rows]), length)
-            cut = np.flatnonzero(np.concatenate([[True], string[1:] != string[:-1]])) if len(string) else np.zeros(0, np.int64)
+        string, offset = repeated_starts([r[2] for r in rows], np.array([r[3] for r in rows]), length) if rows else ((), ())
+        if len(string):
+            cut = np.flatnonzero(np.concatenate([[True], string[1:] != string[:-1]]))
             for i, j in zip(cut.tolist(), np.append(cut[1:], len(string)).tolist(), strict=True):
                 starts[int(string[i])] = offset[i:j]
         for k, found in starts.items():
