@@ -198,8 +198,8 @@ def _merged(summed: DataFrame, length: int) -> DataFrame:
 
 
 def find_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, runs): the covered runs (start, end) of every document that has any, as sorted, disjoint arrays of
-    structs; key is xxhash64 of the text."""
+    """(doc_id, key, runs): the covered runs (start, end) of every document that has any, as sorted arrays of structs, which
+    may overlap and repeat; key is xxhash64 of the text."""
     if length < 2 * GRAM or length % Q:
         raise ValueError(f"length must be a multiple of {Q} and at least {2 * GRAM}")
     kind = df.schema[id_col].dataType.simpleString()
@@ -229,7 +229,7 @@ def find_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
         moved = places.join(moves, (F.col("anchor") == F.col("old_anchor")) & (F.col("own") == F.col("old_own")))
         places = moved.select("doc_id", "key", (F.col("first") + F.col("shift")).alias("first"), F.col("n_anchor").alias("anchor"), F.col("n_own").alias("own"))
     flat = F.transform("runs", lambda r: F.struct((r["starts"] + F.col("first")).alias("start"), (r["ends"] + F.col("first")).alias("end")))
-    return out.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(flat)))).alias("runs"))
+    return out.groupBy("doc_id", "key").agg(F.array_sort(F.flatten(F.collect_list(flat))).alias("runs"))
 
 
 def union_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
