@@ -102,7 +102,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of the batch of about `limit` text bytes (one whole row at least) with their bytes and offsets."""
     n = batch.num_rows
     if not n:
