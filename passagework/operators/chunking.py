@@ -184,8 +184,27 @@ def chunk_by_config(df: DataFrame, configs: list[ChunkConfig], kind: str, text:
     return lost if out is None else out.unionByName(lost)
 
 
+def slide(text: str, c: Sliding) -> list[str]:
+    """The chunks of sliding() for one text, for SQL functions."""
+    data = text.strip(WHITE_SPACE).encode()
+    n = len(data)
+    if n <= c.size + c.overlap:
+        return [data.decode()] if n else []
+    inner = np.frombuffer(data + b"\0", np.uint8) & 0xC0 == 0x80  # the end starts a character too
+    starts = np.flatnonzero(~inner)
+    k = np.arange((n - c.overlap) // c.size + 1)
+    first = starts[np.searchsorted(starts, np.maximum(k * c.size - c.overlap, 0), "right") - 1]
+    last = starts[np.searchsorted(starts, np.minimum((k + 1) * c.size + c.overlap, n))]
+    return [data[i:j].decode() for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+
+
 def register(spark) -> None:
-    """chunk_sliding and chunk_snapping (with default patterns), split_sentences and vector_similarity as SQL functions."""
+    """SQL functions: chunk_sliding and chunk_snapping (text, size, overlap), split_sentences, vector_similarity (name and
+    two vectors; minkowski with the power 3), and the table function chunks (text, size, overlap) for LATERAL."""
+
+    @F.pandas_udf("array<string>")
+    def chunk_sliding(texts: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else slide(t, Sliding(int(s), int(o))) for t, s, o in zip(texts, size, overlap, strict=True)])
 
     @F.pandas_udf("array<string>")
     def chunk_snapping(texts: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
@@ -201,5 +220,11 @@ def register(spark) -> None:
     def vector_similarity(name: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None or len(x) != len(y) else float(similarities(n, np.asarray(x, float)[None], np.asarray(y, float), 3)[0]) for n, x, y in zip(name, a, b, strict=True)])
 
-    for f in (chunk_snapping, split_sentences, vector_similarity):
+    @F.udtf(returnType="chunk_idx int, chunk string")
+    class Chunks:
+        def eval(self, text: str, size: int, overlap: int):
+            yield from enumerate(snap(text or "", Snapping(size, overlap)))
+
+    for f in (chunk_sliding, chunk_snapping, split_sentences, vector_similarity):
         spark.udf.register(f.__name__, f)
+    spark.udtf.register("chunks", Chunks)

@@ -46,6 +46,9 @@ TEXTS = ["0123456789" * 3, "0123456789" * 2 + "01234", "0123456789" * 2, "", "
 @pytest.mark.parametrize(("size", "overlap"), [(10, 5), (10, 0), (7, 7), (1000, 200), (3, 1)])
 def test_native_windows(spark, size, overlap):
     assert native(spark, TEXTS, Sliding(size, overlap)) == [None if t is None else windows(t, size, overlap) for t in TEXTS]
+    register(spark)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string")
+    assert [r.c for r in df.selectExpr("i", f"chunk_sliding(t, {size}, {overlap}) AS c").orderBy("i").collect()] == native(spark, TEXTS, Sliding(size, overlap))
 
 
 def test_window_ranges(spark):
@@ -165,4 +168,6 @@ def test_chunks_by_each_rows_configuration(spark):
 def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT chunk_snapping('Aa bb. Cc dd. Ee ff.', 1, 1) AS c, split_sentences('A b. C d.') AS s, vector_similarity('cosine', array(1D, 0D), array(1D, 0D)) AS v").first()
+    rows = spark.sql("SELECT d.id, c.chunk_idx, c.chunk FROM VALUES (7, 'Aa bb. Cc dd.') AS d(id, t), LATERAL chunks(d.t, 1, 0) c").collect()
+    assert [tuple(r) for r in rows] == [(7, 0, "Aa bb."), (7, 1, " Cc dd.")]
     assert row.c == ["Aa bb. Cc dd.", " Cc dd. Ee ff."] and row.s == ["A b.", " C d."] and row.v == 1.0
