@@ -28,7 +28,7 @@ from .common import materialize, pieces
 
 ORDER = 5
 #: Text bytes of a block, about.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
 #: Share of a language's trusted documents under its threshold before the slack, and the documents a quantile needs.
 QUANTILE, SLACK, LEAST = 0.99, 1.5, 50
 #: Bits by which a text must be less likely than at its threshold: a few bytes alone are no evidence.
