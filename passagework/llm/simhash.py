@@ -14,9 +14,12 @@ what meets there is verified.
 
 Near duplicates by similarity (groups(), keep_one()): texts are equal, or their sets of 5-word shingles have a Jaccard
 similarity of 0.8 or more, in chains. SimHash fingerprints over the sets of words, at 8 or fewer differing bits, give
-families by the links above (a pair at 0.8 differs by 3 bits at the median and 9 at the 99th percentile of the test
-documents, unrelated ones by over 20). Inside a family all pairs are verified on MinHash sketches of the shingles, in
-blocks of bounded size; large families are searched from linked members outwards.
+families by the links above, and shared shingles give those that the fingerprints miss, without loss: under one order of
+all shingles, two sets of n and m shingles at 0.8 have one in common among the first n - ceil(0.8 n) + 1 and
+m - ceil(0.8 m) + 1 (the prefix filter). The order puts shingles that are frequent in a sample last, so few documents meet
+by them; any order is right. What meets is linked if the sizes allow 0.8 and if the parities of 256 hashed bits differ in
+no more places than the sets may differ, both of which every pair at 0.8 passes. Inside a family all pairs are verified
+on MinHash sketches of the shingles, in blocks of bounded size; large families are searched from linked members outwards.
 
 Defined results: null or empty texts, or those without words, have the fingerprint zero; texts of fewer words than a
 shingle are one shingle; rows with equal ids or texts are linked like any others, and a component's id is the least
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, materialize, prefix_sums, span_hash, text_or_empty, words
 from .components import components
-from .minhash import BINS, sketch
+from .minhash import BINS, shingle_hashes, sketch
 
 BITS, HOT = 64, 256
 
@@ -301,6 +304,8 @@ def near_duplicates(df: DataFrame, tau: int = 2, size: int = 3, id_col: str = "d
 
 #: Of near duplicates: differing bits of word-set fingerprints, least similarity, words of a shingle, documents of a block.
 WORD_TAU, SIMILAR, WORDS, BLOCK = 8, 0.8, 5, 4096
+#: Documents of the sample that orders shingles, occurrences in it that make one frequent, and bits of the parities.
+SAMPLE, FREQUENT, PARITIES = 20_000, 16, 256
 
 
 def _word_sets(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -323,8 +328,132 @@ def _word_sets(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingle_sets(raw: np.ndarray, at: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingle hashes of each row, ascending, those in `last` after the others, and their offsets by row."""
+    h, offsets = shingle_hashes(raw, at, WORDS)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(offsets))
+    late = np.zeros(len(h), bool) if last is None else np.isin(h, last)
+    order = np.lexsort((h, late, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(at) - 1))]).astype(np.int64)
+
+
+def parities(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows x PARITIES / 64) words: whether an odd number of a row's hashes falls on a bit. They differ in no more bits than
+    the sets differ in members."""
+    n = len(offsets) - 1
+    at = np.repeat(np.arange(n), np.diff(offsets)) * PARITIES + (h % np.uint64(PARITIES)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * PARITIES) & 1).astype(np.uint8).reshape(n, PARITIES)
+    return np.packbits(odd, axis=1).view(np.uint64)
+
+
+def _may_be_alike(n: np.ndarray, bits: np.ndarray, other_n: np.ndarray, other_bits: np.ndarray) -> np.ndarray:
+    """False only for sets whose similarity is under 0.8: at 0.8 the sets differ in a ninth of their sizes' sum at most."""
+    differ = np.bitwise_count(bits ^ other_bits).sum(axis=-1, dtype=np.int64)
+    return (5 * np.minimum(n, other_n) >= 4 * np.maximum(n, other_n)) & (9 * differ <= n + other_n)
+
+
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Shingles that occur in FREQUENT or more of about SAMPLE documents, however many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .common import pieces
+
+        for batch in batches:
+            for _, raw, at in pieces(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(raw, at)[0].view(np.int64))], ["h"])
+
+    share = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod("key", F.lit(share)) == 0).select("text").mapInArrow(run, "h long")
+    often = sample.groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toPandas()  # of a sample of fixed size
+    return np.sort(often["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (shingle, key): the shingles of which two similar sets share one."""
+    from .common import pieces
+
+    for batch in batches:
+        for part, raw, at in pieces(batch, "text"):
+            h, offsets = shingle_sets(raw, at, last)
+            n = np.diff(offsets)
+            row = np.repeat(np.arange(len(n)), n)
+            first = np.arange(len(h)) - offsets[row] < (n + -4 * n // 5 + 1)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), part.column(0).take(pa.array(row[first]))], ["shingle", "key"])
+
+
+def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, key) sorted by both -> those, once each, whose shingle stands with several keys."""
+    held = [np.zeros(0, np.int64)] * 2
+    carried = False  # whether the held row's shingle was met before it
+    for b in itertools.chain(batches, [None]):
+        shingle, key = ([np.concatenate([x, c.to_numpy()]) for x, c in zip(held, b.columns, strict=True)]) if b is not None else held
+        if not len(shingle):
+            continue
+        same = shingle[1:] == shingle[:-1]
+        new = np.concatenate([[True], ~same | (key[1:] != key[:-1])])
+        shingle, key = shingle[new], key[new]
+        same = shingle[1:] == shingle[:-1]
+        met = np.concatenate([[carried], same]) | np.concatenate([same, [False]])
+        upto = len(shingle) - (b is not None)
+        held, carried = [shingle[upto:], key[upto:]], bool(met[-1])
+        if met[:upto].any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[:upto][met[:upto]]) for x in (shingle, key)], ["shingle", "key"])
+
+
+def _joined_by_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, fp, n, bits) sorted by shingle -> links (a, b) that connect the fp of a shingle's rows that may be alike."""
+    kind = np.dtype([("fp", np.int64), ("n", np.int64), ("bits", np.uint64, (PARITIES // 64,))])
+
+    def linked(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rest), bool)
+        for x in some:
+            left = ~out
+            out[left] = _may_be_alike(x["n"], x["bits"], rest["n"][left], rest["bits"][left])
+        return out
+
+    shingles, held = np.zeros(0, np.int64), np.zeros(0, kind)
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            new = np.zeros(b.num_rows, kind)
+            new["fp"], new["n"] = b.column(1).to_numpy(), b.column(2).to_numpy()
+            new["bits"] = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            shingles, held = np.concatenate([shingles, b.column(0).to_numpy()]), np.concatenate([held, new])
+        if not len(held):
+            continue
+        edges = np.concatenate([[0], np.flatnonzero(shingles[1:] != shingles[:-1]) + 1, [len(held)]])
+        if b is not None:
+            edges = edges[:-1]  # the last shingle may go on
+        begins, sizes = edges[:-1], np.diff(edges)
+        two = begins[sizes == 2]
+        x, y = held[two], held[two + 1]
+        ok = _may_be_alike(x["n"], x["bits"], y["n"], y["bits"])
+        a, c = [x["fp"][ok]], [y["fp"][ok]]
+        for i, size in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            for members, root in _outwards(held[i : i + size], linked):
+                a.append(members["fp"])
+                c.append(np.full(len(members), root["fp"]))
+        a, c = np.concatenate(a), np.concatenate(c)
+        pairs = np.unique(np.stack([a, c], 1)[a != c], axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        shingles, held = shingles[edges[-1] :], held[edges[-1] :]
+
+
+def links_by_shingles(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of the fp of texts (key, fp, n, bits): chains of them connect all texts at 0.8 or more. docs: key, text."""
+    last = _frequent(docs)
+    prefixes = docs.select("key", "text").mapInArrow(lambda b: _prefixes(b, last), "shingle long, key long")
+    met = prefixes.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_met_again, "shingle long, key long")
+    met = materialize(met, "shingles")
+    rows = met.join(texts.select("key", "fp", "n", "bits"), "key").select("shingle", "fp", "n", "bits").repartition("shingle").sortWithinPartitions("shingle")
+    return materialize(rows.mapInArrow(_joined_by_shingles, "a long, b long").distinct(), "links")
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, text) -> (doc_id, key, fp, sketch)."""
+    """(doc_id, key, text) -> (doc_id, key, fp, n, bits, sketch)."""
     from .common import pieces
 
     for batch in batches:
@@ -332,7 +461,11 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, has = sketch(raw, at, WORDS)
             both = np.where(has[:, None], low[:, ::2] << 4 | low[:, 1::2], 0).astype(np.uint8)
             marks = [x.tobytes() if ok else b"" for x, ok in zip(both, has.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_word_sets(raw, at).view(np.int64)), pa.array(marks, pa.binary())], ["doc_id", "key", "fp", "sketch"])
+            h, offsets = shingle_sets(raw, at)
+            bits = [x.tobytes() for x in parities(h, offsets)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(_word_sets(raw, at).view(np.int64)), pa.array(np.diff(offsets)), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "key", "fp", "n", "bits", "sketch"]
+            )
 
 
 def _alike(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -384,10 +517,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, key (xxhash64 of the text), keeper: the least id (none: null) and its key of each row's group."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("key"), text_or_empty(text).alias("text"))
-    rows = materialize(docs.mapInArrow(_sketches, f"doc_id {kind}, key long, fp long, sketch binary"), "sketches")
+    rows = materialize(docs.mapInArrow(_sketches, f"doc_id {kind}, key long, fp long, n long, bits binary, sketch binary"), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")).alias("first")
-    texts = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), first), "texts")
-    family = components(links(texts.select("fp").distinct(), WORD_TAU))
+    texts = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bits", "sketch")], first), "texts")
+    family = components(links(texts.select("fp").distinct(), WORD_TAU).unionByName(links_by_shingles(docs, texts)))
     rooted = texts.join(family, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "key", "sketch")
     sizes = rooted.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK)

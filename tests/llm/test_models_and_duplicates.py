@@ -142,6 +142,37 @@ def test_near_copies_in_a_large_family(spark):
     assert kept == {0, *range(1000, 1040)}
 
 
+def test_changed_parts_of_new_words_stay_near_copies(spark):
+    """Appended, truncated, replaced and short copies whose word sets differ in many bits."""
+    pairs = []
+    for k in range(60):
+        a = [f"{w}{i % 7}" for i, w in enumerate(prose(6000 + k, [25, 60, 120, 400][k % 4]).split())]
+        more = prose(7000 + k, len(a)).split()
+        cut = len(a) // 11
+        pairs.append([(a, a + more[: len(a) // 9]), (a, a[: len(a) - cut]), (a, a[: len(a) - cut // 2] + more[: cut // 2])][k % 3])
+    texts = [(" ".join(a), " ".join(b)) for a, b in pairs]
+    assert all(similarity(*x) >= 0.85 for x in texts)
+    sets = lambda t: sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64_intdigest(w.encode()) >> b & 1 for w in set(words(t))) > len(set(words(t))))
+    assert sum((sets(a) ^ sets(b)).bit_count() > simhash.WORD_TAU for a, b in texts) >= 5
+    rows = [(i, t) for k, x in enumerate(texts) for i, t in zip((k, 1000 + k), x, strict=True)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(60))
+
+
+def test_prefixes_and_parities_lose_no_similar_pair():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(r.integers(1, 200))
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - int(r.integers(0, n // 8 + 1))], r.integers(0, 1 << 63, int(r.integers(0, n // 8 + 1))).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        if 5 * len(np.intersect1d(a, b)) < 4 * len(np.union1d(a, b)):
+            continue
+        bits = simhash.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert simhash._may_be_alike(np.array([len(a)]), bits[:1], np.array([len(b)]), bits[1:])[0]
+        assert len(np.intersect1d(*[x[: len(x) + -4 * len(x) // 5 + 1] for x in (a, b)]))
+
+
 def test_minhash_of_edits(docs, clashing, nothing):
     import hashlib
 
