@@ -7,7 +7,9 @@ text from the first one's start to the last one's end. Anchors that occur once i
 are summed up, with their number as weight, before they are shuffled by anchor. Stretches with one anchor, a few shards
 of them at a time, are merged; the blocks of the merged order that have `length` symbols in common are the repeated
 strings. An anchor with more than HOT different stretches is not merged in one task: its stretches are cut anew by
-anchors under another hash, by which their windows spread, until no anchor is hot.
+anchors under another hash, by which their windows spread, until no anchor is hot. A passage little longer than a window
+keeps its anchor hot, since every stretch holds some bytes of its own surroundings: what is hot after ROUNDS cuts has its
+windows counted by their 128-bit digests, in partial sums, so that no task takes an anchor whole.
 
 Defined results: a null text counts as empty; texts shorter than a window lose nothing; matches never cross documents;
 strings are judged on the input; rows with equal ids and texts are copies of each other and each lose what repeats;
@@ -17,6 +19,7 @@ an empty table gives none. Other columns than those named are not read by find_r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +194,34 @@ def _cut_anew(batches: Iterator[pa.RecordBatch], length: int, salt: int) -> Iter
             yield pa.RecordBatch.from_arrays([old, part.column(1).take(rows), part.column(3).take(rows), pa.array(first), pa.array(under.view(np.int64)), pa.array(own.view(np.int64)), pa.array(text, pa.binary())], ["old_anchor", "old_own", "weight", "shift", "anchor", "own", "stretch"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Stretches (anchor, own, stretch, weight) -> each window's place in its stretch and digest."""
+    for batch in batches:
+        for anchor, own, text, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = len(text) - length + 1
+            digests = [blake2b(text[i : i + length], digest_size=16).digest() for i in range(n)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, anchor)), pa.array(np.full(n, own)), pa.array(np.full(n, weight)), pa.array(np.arange(n, dtype=np.int32)), pa.array(digests, pa.binary())], ["anchor", "own", "weight", "at", "digest"]
+            )
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, own, sorted places of repeated windows) -> the runs that they cover."""
+    for batch in batches:
+        runs = [_runs(x.values.to_numpy(), length) for x in batch.column(2)]
+        kind = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in runs], kind), pa.array([b for _, b in runs], kind)], ["anchor", "own", "starts", "ends"])
+
+
+def _counted(hot: DataFrame, length: int) -> DataFrame:
+    """Hot stretches -> covered runs of each that has any, like those of merges, without gathering an anchor."""
+    windows = hot.select("anchor", "own", "stretch", "weight").mapInArrow(lambda b: _windows(b, length), "anchor long, own long, weight long, at int, digest binary")
+    often = materialize(windows.groupBy("digest").agg(F.sum("weight").alias("n")).where("n > 1").select("digest"), "digests")
+    repeated = windows.join(often, "digest").groupBy("anchor", "own").agg(F.array_sort(F.collect_list("at")).alias("at"))  # as many as a stretch has
+    found = repeated.mapInArrow(lambda b: _runs_of(b, length), "anchor long, own long, starts array<int>, ends array<int>")
+    return materialize(found.withColumn("stretch", F.lit(None).cast("binary")), "runs")
+
+
 def _merged(summed: DataFrame, length: int) -> DataFrame:
     rows = summed.select("anchor", "own", "stretch", "weight").repartition("anchor").sortWithinPartitions("anchor", "own")
     found = rows.mapInArrow(lambda b: _merge_groups(b, length), "anchor long, own long, starts array<int>, ends array<int>, stretch binary, weight long")
@@ -214,7 +245,7 @@ def find_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
     found = _merged(summed, length)
     places = pieces_df.select("doc_id", "key", "first", "anchor", "own")
     out = None
-    for salt in range(1, ROUNDS + 2):
+    for salt in range(1, ROUNDS + 3):
         runs = found.where("stretch is null").select(F.col("anchor").alias("f_anchor"), F.col("own").alias("f_own"), F.arrays_zip("starts", "ends").alias("runs"))
         here = places.join(runs, (F.col("anchor") == F.col("f_anchor")) & (F.col("own") == F.col("f_own"))).select("doc_id", "key", "first", "runs")
         out = here if out is None else out.unionByName(here)
@@ -222,7 +253,8 @@ def find_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
         if hot.isEmpty():
             break
         if salt > ROUNDS:
-            raise RuntimeError("an anchor stays hot")
+            found = _counted(hot, length)
+            continue
         anew = materialize(hot.select("anchor", "own", "stretch", "weight").mapInArrow(lambda b, salt=salt: _cut_anew(b, length, salt), "old_anchor long, old_own long, weight long, shift long, anchor long, own long, stretch binary"), "anew")
         found = _merged(anew.groupBy("anchor", "own").agg(F.first("stretch").alias("stretch"), F.sum("weight").alias("weight")), length)
         moves = anew.select("old_anchor", "old_own", "shift", F.col("anchor").alias("n_anchor"), F.col("own").alias("n_own"))

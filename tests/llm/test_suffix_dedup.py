@@ -77,3 +77,17 @@ def test_many_copies_of_one_passage(spark):
     want = brute([r.text.encode() for r in rows], 200)
     got = {r.doc_id: (r._n_removed, len(r._spans), hashlib.sha256(bytes(r._kept)).hexdigest()) for r in suffix_dedup.remove_repeats(df).collect()}
     assert got == {r.doc_id: w for r, w in zip(rows, want, strict=True)}
+
+
+@pytest.mark.parametrize(("n", "size", "hot", "rounds"), [(300, 210, 32, 3), (300, 300, 32, 3), (3000, 300, 2048, 12)])
+def test_an_anchor_that_stays_hot(spark, n, size, hot, rounds, monkeypatch):
+    """Copies of a passage little longer than a window, each between other texts: no cut takes the surroundings away."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "ROUNDS", rounds)
+    r = random.Random(size)
+    some = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    passage = some(size)
+    rows = [(k, some(r.randint(220, 300)) + passage + some(r.randint(220, 300))) for k in range(n)] + [(n + k, some(400)) for k in range(20)]
+    want = brute([t.encode() for _, t in rows], 200)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {x.doc_id: (x._n_removed, len(x._spans), hashlib.sha256(bytes(x._kept)).hexdigest()) for x in got} == {i: w for (i, _), w in zip(rows, want, strict=True)}
