@@ -8,7 +8,7 @@ each block and distinct n-gram, not for each occurrence), and a second pass over
 Nothing of the model is broadcast or collected but the three discounts of each order.
 
 A document is rejected if its perplexity exceeds its language's threshold: a quantile over the trusted documents of that
-language, times a slack, by MARGIN bits in all; languages with few trusted documents take the threshold over all of them.
+language, by MARGIN bits in all; languages with few trusted documents take the threshold over all of them.
 
 Defined results: null and empty texts have a null perplexity and are rejected; null or repeated labels: a document is
 trusted if its least label is 1; rows with equal ids are each scored; a null language counts as one of its own; without
@@ -29,8 +29,8 @@ from .common import materialize, pieces
 ORDER = 5
 #: Text bytes of a block, about.
 BLOCK_BYTES = 64 << 20
-#: Share of a language's trusted documents under its threshold before the slack, and the documents a quantile needs.
-QUANTILE, SLACK, LEAST = 0.99, 1.5, 50
+#: Share of a language's trusted documents under its threshold, and the documents a quantile needs.
+QUANTILE, LEAST = 0.99, 50
 #: Bits by which a text must be less likely than at its threshold: a few bytes alone are no evidence.
 MARGIN = 12.0
 
@@ -173,13 +173,13 @@ def perplexities(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     return scored.join(sure, F.col("doc_id") == F.col("t_id"), "left").withColumn("trusted", F.col("t_id").isNotNull()).drop("t_id")
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[dict[str | None, float], float]:
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> tuple[dict[str | None, float], float]:
     """A threshold for each language with enough trusted documents, and the common one."""
     sure = scored.where("trusted and perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000)
     common = sure.agg(at.alias("t")).first()["t"]
     by = sure.groupBy("lang").agg(at.alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).collect()  # a row for each language
-    return {r["lang"]: r["t"] * slack for r in by}, float("inf") if common is None else common * slack
+    return {r["lang"]: r["t"] for r in by}, float("inf") if common is None else common
 
 
 def threshold_of(cuts: dict[str | None, float], common: float, lang: Column) -> Column:
@@ -197,9 +197,9 @@ def keep_accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return df.join(rejected, on, "left_anti")
 
 
-def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """doc_id, key (xxhash64 of the text), lang, n_bytes, perplexity, threshold, accepted for every row."""
     scored = materialize(perplexities(df, labels, id_col, text, lang), "scored")
-    cut = threshold_of(*thresholds(scored, quantile, slack), F.col("lang"))
+    cut = threshold_of(*thresholds(scored, quantile), F.col("lang"))
     beyond = F.col("n_bytes") * (F.log2("perplexity") - F.log2(cut))
     return scored.select("doc_id", "key", "lang", "n_bytes", "perplexity", cut.alias("threshold"), F.coalesce(beyond <= MARGIN, F.lit(False)).alias("accepted"))

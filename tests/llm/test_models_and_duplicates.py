@@ -265,6 +265,24 @@ def test_perplexities_against_brute_force(spark, docs, clashing, nothing):
     assert all(r.perplexity is None or math.isclose(r.perplexity, 256) for r in uniform)
 
 
+def test_thresholds_are_the_languages_quantiles(spark):
+    """No slack on them: a text of half as much more perplexity than the quantile is rejected, one at it is not."""
+    rows = [(k, 0, lang, 1000, p + k / 100, True) for lang, p in (("en", 4.0), ("de", 6.0)) for k in range(100)]
+    rows += [(200, 0, "en", 1000, 7.0, False), (201, 0, "en", 1000, 4.9, False), (202, 0, "de", 1000, 7.0, False)]
+    scored = spark.createDataFrame(rows, "doc_id long, key long, lang string, n_bytes long, perplexity double, trusted boolean")
+    cuts, common = kneser_ney.thresholds(scored)
+    assert cuts == {"en": 4.98, "de": 6.98} and 6.9 < common < 7
+    texts = [(k, " ".join(prose(k, 120).split()), "en") for k in range(120)]
+    r = random.Random(8)
+    texts += [(1000 + k, " ".join("".join(r.sample(w, len(w))) for w in prose(4000 + k, 60).split()), "en") for k in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _, _ in texts], "doc_id long, quality int")
+    got = {r.doc_id: r for r in kneser_ney.quality(df, labels).collect()}
+    ordered = sorted(got[k].perplexity for k in range(120))
+    assert got[0].threshold in ordered[-3:]
+    assert sum(got[k].accepted for k in range(120)) >= 118 and not any(got[1000 + k].accepted for k in range(40))
+
+
 def test_probabilities_sum_to_one(spark):
     text = prose(3, 400).encode()
     seen = Counter((bytes(2) + text)[i : i + 3] for i in range(len(text)))
