@@ -19,7 +19,7 @@ all shingles, two sets of n and m shingles at 0.8 have one in common among the f
 m - ceil(0.8 m) + 1 (the prefix filter). The order puts shingles that are frequent in a sample last, so few documents meet
 by them; any order is right. What meets is linked if the sizes allow 0.8 and if the parities of 256 hashed bits differ in
 no more places than the sets may differ, both of which every pair at 0.8 passes. Inside a family all pairs are verified
-on MinHash sketches of the shingles, in blocks of bounded size; large families are searched from linked members outwards.
+on their sets of shingle hashes, in blocks of bounded size; large families are searched from linked members outwards.
 
 Defined results: null or empty texts, or those without words, have the fingerprint zero; texts of fewer words than a
 shingle are one shingle; rows with equal ids or texts are linked like any others, and a component's id is the least
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, materialize, prefix_sums, span_hash, text_or_empty, words
 from .components import components
-from .minhash import BINS, shingle_hashes, sketch
+from .minhash import shingle_hashes
 
 BITS, HOT = 64, 256
 
@@ -302,8 +302,8 @@ def near_duplicates(df: DataFrame, tau: int = 2, size: int = 3, id_col: str = "d
     return rows.join(by_fp, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of near duplicates: differing bits of word-set fingerprints, least similarity, words of a shingle, documents of a block.
-WORD_TAU, SIMILAR, WORDS, BLOCK = 8, 0.8, 5, 4096
+#: Of near duplicates: differing bits of word-set fingerprints, words of a shingle, documents of a block.
+WORD_TAU, WORDS, BLOCK = 8, 5, 4096
 #: Documents of the sample that orders shingles, occurrences in it that make one frequent, and bits of the parities.
 SAMPLE, FREQUENT, PARITIES = 20_000, 16, 256
 
@@ -452,46 +452,54 @@ def links_by_shingles(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_joined_by_shingles, "a long, b long").distinct(), "links")
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, text) -> (doc_id, key, fp, n, bits, sketch)."""
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, text) -> (doc_id, key, fp, n, bits)."""
     from .common import pieces
 
     for batch in batches:
         for part, raw, at in pieces(batch, "text"):
-            low, has = sketch(raw, at, WORDS)
-            both = np.where(has[:, None], low[:, ::2] << 4 | low[:, 1::2], 0).astype(np.uint8)
-            marks = [x.tobytes() if ok else b"" for x, ok in zip(both, has.tolist(), strict=True)]
             h, offsets = shingle_sets(raw, at)
             bits = [x.tobytes() for x in parities(h, offsets)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(_word_sets(raw, at).view(np.int64)), pa.array(np.diff(offsets)), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "key", "fp", "n", "bits", "sketch"]
-            )
-
-
-def _alike(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Which rows of rest are similar to any of some; rows: key in the first column's place, then nibbles."""
-    chance = 1 / 16
-    out = np.zeros(len(rest), bool)
-    for x in some:
-        left = ~out
-        equal = (rest["low"][left] == x["low"]).mean(axis=1)
-        out[left] = (equal - chance) / (1 - chance) >= SIMILAR
-    return out
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_word_sets(raw, at).view(np.int64)), pa.array(np.diff(offsets)), pa.array(bits, pa.binary())], ["doc_id", "key", "fp", "n", "bits"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, blocks, key, bits, text) -> the same with the hashes of the text's shingles in its place."""
+    from .common import pieces
+
+    for batch in batches:
+        for part, raw, at in pieces(batch, "text"):
+            h, offsets = shingle_sets(raw, at)
+            own = [h[i:j].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(own, pa.binary())], ["root", "blocks", "key", "bits", "shingles"])
 
 
 def _similar_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, i, j, key, sketch) sorted by root, i, j -> links (a, b) of similar keys."""
-    kind = np.dtype([("key", np.int64), ("low", np.uint8, (BINS,))])
-    now, keys, marks = None, [], []
+    """(root, i, j, key, bits, shingles) sorted by root, i, j, key -> links (a, b) of similar keys."""
+    kind = np.dtype([("key", np.int64), ("n", np.int64), ("bits", np.uint64, (PARITIES // 64,)), ("at", np.int64)])
+    now, keys, bits, sets = None, [], [], []
+
+    def alike(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rest), bool)
+        for x in some:
+            left = np.flatnonzero(~out)
+            left = left[_may_be_alike(x["n"], x["bits"], rest["n"][left], rest["bits"][left])]
+            if not len(left):
+                continue
+            own, others = sets[x["at"]], np.concatenate([sets[k] for k in rest["at"][left].tolist()])
+            common = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+            n = rest["n"][left]
+            shared = np.add.reduceat(common, np.cumsum(n) - n, dtype=np.int64)
+            out[left] = 9 * shared >= 4 * (x["n"] + n)  # 0.8 of the union
+        return out
 
     def solve() -> Iterator[pa.RecordBatch]:
         rows = np.zeros(len(keys), kind)
-        rows["key"] = keys
-        empty = np.array([not m for m in marks], bool)
-        packed_low = np.frombuffer(b"".join(m or bytes(BINS // 2) for m in marks), np.uint8).reshape(len(keys), -1)
-        rows["low"][:, ::2], rows["low"][:, 1::2] = packed_low >> 4, packed_low & 15
+        rows["key"], rows["n"], rows["at"] = keys, [len(x) for x in sets], np.arange(len(keys))
+        rows["bits"] = np.frombuffer(b"".join(bits), np.uint64).reshape(len(keys), -1)
+        empty = rows["n"] == 0
         a, b = [], []
-        for members, root in _outwards(rows[~empty], _alike):
+        for members, root in _outwards(rows[~empty], alike):
             a.append(members["key"])
             b.append(np.full(len(members), root["key"]))
         if empty.sum() > 1:  # texts without words are alike
@@ -501,14 +509,17 @@ def _similar_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], ["a", "b"])
 
     for batch in batches:
-        root, i, j, key, mark = (c.to_pylist() for c in batch.columns)
-        for r in zip(root, i, j, key, mark, strict=True):
+        root, i, j, key, mark, own = (c.to_pylist() for c in batch.columns)
+        for r in zip(root, i, j, key, mark, own, strict=True):
             if r[:3] != now:
                 if len(keys) > 1:
                     yield from solve()
-                now, keys, marks = r[:3], [], []
+                now, keys, bits, sets = r[:3], [], [], []
+            if keys and keys[-1] == r[3]:
+                continue  # rows with equal ids and texts
             keys.append(r[3])
-            marks.append(r[4])
+            bits.append(r[4])
+            sets.append(np.frombuffer(r[5], np.uint64))
     if len(keys) > 1:
         yield from solve()
 
@@ -517,16 +528,18 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, key (xxhash64 of the text), keeper: the least id (none: null) and its key of each row's group."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("key"), text_or_empty(text).alias("text"))
-    rows = materialize(docs.mapInArrow(_sketches, f"doc_id {kind}, key long, fp long, n long, bits binary, sketch binary"), "sketches")
+    rows = materialize(docs.mapInArrow(_marks, f"doc_id {kind}, key long, fp long, n long, bits binary"), "marks")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")).alias("first")
-    texts = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bits", "sketch")], first), "texts")
+    texts = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bits")], first), "texts")
     family = components(links(texts.select("fp").distinct(), WORD_TAU).unionByName(links_by_shingles(docs, texts)))
-    rooted = texts.join(family, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "key", "sketch")
+    rooted = texts.join(family, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), F.col("key").alias("m_key"), "bits", F.col("first.id").alias("m_id"))
     sizes = rooted.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    met = rooted.join(sizes, F.col("root") == F.col("r")).withColumn("own", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    pairs = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "sketch")
-    similar = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_similar_in_blocks, "a long, b long")
+    members = materialize(rooted.join(sizes, F.col("root") == F.col("r")).select("root", F.ceil(F.col("n") / BLOCK).alias("blocks"), "m_key", "m_id", "bits"), "members")
+    own = docs.join(members, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("root", "blocks", "key", "bits", "text")
+    sets = own.mapInArrow(_sets, "root long, blocks long, key long, bits binary, shingles binary")
+    met = sets.withColumn("own", F.pmod(F.xxhash64("key"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "bits", "shingles")
+    similar = materialize(pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key").mapInArrow(_similar_in_blocks, "a long, b long"), "similar")
     found = components(similar)
     named = texts.select("key", "first").join(found, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("g"))
     keepers = named.groupBy(F.col("g").alias("h")).agg(F.min("first").alias("keeper"))

@@ -159,6 +159,18 @@ def test_changed_parts_of_new_words_stay_near_copies(spark):
     assert kept == set(range(60))
 
 
+def test_pairs_around_the_threshold_are_told_exactly(spark):
+    rows, want = [], set()
+    for k in range(150):
+        a = prose(8000 + k, 300).split()
+        more = 5 + k // 2  # similarities from about 0.98 down to 0.78
+        b = a + prose(9000 + k, more).split()
+        rows += [(k, " ".join(a)), (1000 + k, " ".join(b))]
+        want |= {k} if similarity(" ".join(a), " ".join(b)) >= 0.8 else {k, 1000 + k}
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 1000 < max(want) and kept == want
+
+
 def test_prefixes_and_parities_lose_no_similar_pair():
     r = np.random.default_rng(3)
     for _ in range(300):
