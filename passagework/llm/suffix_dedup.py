@@ -22,8 +22,9 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Q, repeated_starts
@@ -273,6 +274,30 @@ def union_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
 
 
+def whole_characters(text: Column, spans: Column) -> Column:
+    """The text without the bytes of the spans, nor those of characters that a span's edge cuts in two."""
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for t, a, b in zip(texts, starts, ends, strict=True):
+            if a is None or not len(a):
+                out.append(t)
+                continue
+            data, at, parts = t.encode(), 0, []
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                while i > at and data[i] & 0xC0 == 0x80:
+                    i -= 1
+                while j < len(data) and data[j] & 0xC0 == 0x80:
+                    j += 1
+                parts.append(data[at:i])
+                at = j
+            out.append(b"".join([*parts, data[at:]]).decode())
+        return pd.Series(out, dtype=object)
+
+    return left(text, spans["start"], spans["end"])
+
+
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of df, with _kept (binary, the remaining bytes), _n_bytes, _n_removed and _spans (the removed runs)."""
     from pyspark.sql import types as T
