@@ -17,7 +17,7 @@ similarity of 0.8 or more, in chains. SimHash fingerprints over the sets of word
 families by the links above, and shared shingles give those that the fingerprints miss, without loss: under one order of
 all shingles, two sets of n and m shingles at 0.8 have one in common among the first n - ceil(0.8 n) + 1 and
 m - ceil(0.8 m) + 1 (the prefix filter). The order puts shingles that are frequent in a sample last, so few documents meet
-by them; any order is right. What meets is linked if the sizes allow 0.8 and if the parities of 256 hashed bits differ in
+by them; any order is right. What meets is linked if the sizes allow 0.8 and if the parities of 1024 hashed bits differ in
 no more places than the sets may differ, both of which every pair at 0.8 passes. Inside a family all pairs are verified
 on their sets of shingle hashes, in blocks of bounded size; large families are searched from linked members outwards.
 
@@ -305,7 +305,7 @@ def near_duplicates(df: DataFrame, tau: int = 2, size: int = 3, id_col: str = "d
 #: Of near duplicates: differing bits of word-set fingerprints, words of a shingle, documents of a block.
 WORD_TAU, WORDS, BLOCK = 8, 5, 4096
 #: Documents of the sample that orders shingles, occurrences in it that make one frequent, and bits of the parities.
-SAMPLE, FREQUENT, PARITIES = 20_000, 16, 256
+SAMPLE, FREQUENT, PARITIES = 20_000, 16, 1024
 
 
 def _word_sets(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
