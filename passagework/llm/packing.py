@@ -5,7 +5,7 @@ Documents are tokenized and end with an end token; only longer ones are cut. The
 lengths from the largest down. It indexes the sums of single, pair and triple lengths by hash and consumes, under the
 counts still there, combinations that fill the gap exactly; what no combination completes goes by best fit, largest
 first. A plan is a list of patterns (lengths side by side) with counts; a piece finds its sequence from its length and
-its gapless rank among pieces of that length, without any gathering of pieces.
+its gapless rank among pieces of that length, without any gathering or moving of pieces.
 
 Defined results: a null or empty text is its end token alone; a table without rows gives none; repeated rows are packed
 each; columns other than those named are not read.
@@ -20,10 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import gapless_rank, materialize
+from .common import materialize
+
+#: Rows (part, length) of the table of first ranks up to which it is broadcast: 64 MB at 16 bytes each.
+BROADCAST_ROWS = 1 << 22
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -34,6 +38,7 @@ class Complements:
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = {n: c for n, c in counts.items() if c > 0}
         self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.triples: dict[int, np.ndarray] = {}
         lengths = sorted(self.left, reverse=True)
         for i, a in enumerate(lengths):
             for b in lengths[i:]:
@@ -60,12 +65,29 @@ class Complements:
         for a, b in self._live(gap):
             if self.times((besides, a, b)):
                 yield (a, b)
-        for a in sorted((n for n in self.left if n <= gap - 2), reverse=True):
-            for b, c in self._live(gap - a):
-                if b <= a and self.times((besides, a, b, c)):
-                    yield (a, b, c)
-                if besides not in self.left or a not in self.left:
-                    break
+        for a, b, c in self._triples(gap):
+            if besides not in self.left:
+                break
+            if self.times((besides, a, b, c)):
+                yield (a, b, c)
+
+    def _triples(self, total: int) -> Iterator[tuple[int, int, int]]:
+        """Triples with this sum, by their largest lengths, descending; a sum's entry is made when it is first looked up."""
+        if total not in self.triples:
+            sizes = np.array(sorted(self.left, reverse=True), np.int32)
+            there = np.zeros(total + 1, bool)
+            there[sizes[sizes <= total]] = True
+            first, second = (x.ravel() for x in np.meshgrid(sizes[sizes < total], sizes[sizes < total], indexing="ij"))
+            third = total - first - second
+            ok = (second <= first) & (third <= second) & (third > 0)
+            ok[ok] = there[third[ok]]
+            self.triples[total] = np.stack([first[ok], second[ok], third[ok]], 1)
+        known = self.triples[total]
+        for i in range(0, len(known), 256):  # lengths run out while combinations are consumed
+            some = known[i : i + 256]
+            left = np.array(sorted(self.left), np.int32)
+            for row in some[np.isin(some, left).all(axis=1)].tolist():
+                yield tuple(row)
 
     def _live(self, total: int) -> list[tuple[int, int]]:
         """Pairs with this sum whose lengths are still there; others leave the index."""
@@ -150,12 +172,16 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """texts -> lists of ids, as the tokenizers library gives them for this file without special tokens.
+    """texts -> lists of ids, as the tokenizers library gives them for this file with add_special_tokens=False.
 
     A plain byte-level BPE whose ids follow its merges is run by tiktoken from the same file, about five times as fast;
-    the ids are the same. Any other file is run by tokenizers itself.
+    the ids are the same. Texts in which an added token of the file occurs literally, and all texts under other files, go
+    through tokenizers itself.
     """
     if path not in _encoders:
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -171,30 +197,34 @@ def encoder(path: str):
             import tiktoken
 
             of = _byte_characters()
-            special = {t["content"] for t in spec.get("added_tokens", [])}
-            ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in special}
+            added = [t["content"] for t in spec.get("added_tokens", [])]
+            ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in added}
             fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[path] = lambda texts: [fast.encode_ordinary(t) for t in texts]
-        else:
-            from tokenizers import Tokenizer
 
-            slow = Tokenizer.from_file(path)
-            slow.encode_special_tokens = True
+            def encode(texts: list[str]) -> list[list[int]]:
+                return [slow.encode(t, add_special_tokens=False).ids if any(x in t for x in added) else fast.encode_ordinary(t) for t in texts]
+
+            _encoders[path] = encode
+        else:
             _encoders[path] = lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
     return _encoders[path]
 
 
 def tokenized_pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text: str, with_ids: bool) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): documents with their end token, longer ones in pieces of
-    `capacity` of which the first may be shorter. No shuffle."""
+    `capacity` of which the first may be shorter; part (the task's number) and rank (0, 1, ... among its pieces of that
+    length). No shuffle. Write it before use: another run may number other rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         from .common import pieces
 
-        encode = encoder(tokenizer)
+        encode, own_part = encoder(tokenizer), TaskContext.get().partitionId()
+        seen = [0] * (capacity + 1)
         for batch in batches:
             for part, _, _ in pieces(batch, "text"):
-                rows, piece, start, length, crc, ids = [], [], [], [], [], []
+                rows, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
                 for k, got in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
                     all_ids = np.array([*got, end_id], "<u4")
                     cut, at, p = len(all_ids) % capacity or min(capacity, len(all_ids)), 0, 0
@@ -205,30 +235,49 @@ def tokenized_pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int,
                         start.append(at)
                         length.append(len(own))
                         crc.append(zlib.crc32(own.tobytes()))
-                        ids.append(own.astype(np.int32))
+                        rank.append(seen[len(own)])
+                        seen[len(own)] += 1
+                        if with_ids:
+                            ids.append(own.astype(np.int32))
                         at, cut, p = cut, cut + capacity, p + 1
-                cols = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                cols = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                cols += [pa.array(np.full(len(rows), own_part, np.int32)), pa.array(rank, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def first_ranks(counts: DataFrame) -> DataFrame:
+    """(c_part, first): for each part an array by length - 1 of the number of pieces of that length in the parts before it."""
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return first.groupBy(F.col("part").alias("c_part")).agg(F.map_from_entries(F.collect_list(F.struct("length", "first"))).alias("first"))
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """Pieces of all rows with sequence_id and offset; every sequence is gapless from 0 and at most `capacity` long."""
+    """Pieces of all rows with sequence_id and offset; every sequence is gapless from 0 and at most `capacity` long.
+
+    Pieces are ranked by their length where they are made and keep their place: a part's own ranks follow those of the
+    parts before it, of which a table of at most `capacity` numbers a part tells. It is broadcast up to BROADCAST_ROWS
+    rows, and joined by part beyond.
+    """
     pieces_df = materialize(tokenized_pieces(df, tokenizer, capacity, end_id, id_col, text, with_ids), "pieces")
-    histogram = {int(r["length"]): int(r["count"]) for r in pieces_df.groupBy("length").count().collect()}  # `capacity` rows at most
+    counts = materialize(pieces_df.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     slots = Slots(plan(histogram, capacity))
-    ranked = gapless_rank(pieces_df, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
-    names = [*pieces_df.columns, "rank"]
+    first = first_ranks(counts)
+    first = F.broadcast(first) if counts.count() <= BROADCAST_ROWS else first
+    columns = [c for c in pieces_df.columns if c not in ("part", "rank")]
+    ranked = pieces_df.join(first, F.col("part") == F.col("c_part")).select(*columns, (F.col("rank") + F.element_at("first", F.col("length"))).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_length, at_rank = names.index("length"), names.index("rank")
+        at_length, at_rank = columns.index("length"), len(columns)
         for b in batches:
             sequence, offset = slots.find(b.column(at_length).to_numpy(), b.column(at_rank).to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns[:at_rank], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*names[:-1], "sequence_id", "offset"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*b.columns[:at_rank], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*columns, "sequence_id", "offset"])
 
-    schema = T.StructType([*pieces_df.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*names).mapInArrow(place, schema)
+    kept = [f for f in pieces_df.schema.fields if f.name in columns]
+    return ranked.mapInArrow(place, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))

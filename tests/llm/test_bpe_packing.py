@@ -60,8 +60,7 @@ def test_packing_encoder_is_the_tokenizers_one(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    texts = [r.text or "" for r in docs.collect()]
+    texts = [r.text or "" for r in docs.collect()] + ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y ", "<|endoftext"]
     assert packing.encoder(JSON)(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -89,6 +88,12 @@ def test_exact_complements_leave_no_gap():
     assert sum(c for _, c in plan) == 4 and sum(sum(p) == 1024 for p, c in plan for _ in range(c)) == 4
 
 
+def test_triples_are_found_by_their_sum():
+    stock = packing.Complements({700: 1, 100: 2, 124: 1, 50: 3, 200: 1}, 1024)
+    assert list(stock._triples(324)) == [(124, 100, 100)] and list(stock._triples(350)) == [(200, 100, 50)]
+    assert packing.plan({700: 1, 124: 1, 100: 2}, 1024) == [((700, 124, 100, 100), 1)]
+
+
 def check(df, out, capacity):
     from collections import defaultdict
 
