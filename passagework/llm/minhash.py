@@ -4,7 +4,8 @@ picks, until that bin has one); the low-order bits of the values are packed. Lik
 corrected for the 2**-bits that differing values agree by chance.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint "", like to itself (1) and to
-nothing else (0); a text of fewer words than a shingle is one shingle. Equal texts have equal fingerprints.
+nothing else (0); a text of fewer words than a shingle is one shingle, beside its shingles of characters. Equal texts have
+equal fingerprints. Every row has one result: repeated rows, equal and null ids each, of which null ones come last.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from .common import LOWER, buffers, mix, prefix_sums, span_hash, text_or_empty,
 BINS, LOW_BITS, SHINGLE = 512, 4, 5
 #: Attempts of densification before a bin takes the first value of its row (under 1e-7 of bins, of texts with two shingles).
 ATTEMPTS = 4096
-#: Text bytes that a range of ids has, about.
-RANGE_BYTES = 8 << 20
+#: Text bytes that a range of ids has, about, and ranges at most; beyond, ranges grow and are sorted with spilling.
+RANGE_BYTES, RANGES = 8 << 20, 16_384
+#: A word of more bytes counts as so many words of one character; texts of fewer characters have shingles of characters as well.
+LONG_WORD, FEW = 24, 100
 
 _odd = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -48,6 +51,43 @@ def shingle_hashes(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarr
     return mix(out), offsets
 
 
+def features(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of what likeness counts, and their offsets by row: word shingles, where a long word (text without spaces) is
+    taken character by character, and for short texts the shingles of `size` characters as well."""
+    plain, offsets = shingle_hashes(raw, at, size)
+    starts, ends, first = words(raw, at)
+    n_words = np.diff(first)
+    row_of = np.repeat(np.arange(len(n_words)), n_words)
+    n_chars = np.diff(np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at])
+    short = (n_chars < FEW) & (n_words > 0)
+    other = short.copy()
+    other[row_of[ends - starts > LONG_WORD]] = True
+    out = [plain[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    for k in np.flatnonzero(other).tolist():
+        data = LOWER[raw[at[k] : at[k + 1]]]
+        lead = np.flatnonzero((data & 0xC0) != 0x80)  # where characters start
+        edges = np.append(lead, len(data))
+        tokens = []
+        for s, e in zip((starts[first[k] : first[k + 1]] - at[k]).tolist(), (ends[first[k] : first[k + 1]] - at[k]).tolist(), strict=True):
+            if e - s <= LONG_WORD:
+                tokens.append((s, e))
+            else:
+                i, j = np.searchsorted(lead, [s, e])
+                tokens += zip(lead[i:j].tolist(), edges[i + 1 : j + 1].tolist(), strict=True)
+        sums = prefix_sums(data)
+        h = span_hash(sums, *np.array(tokens, np.int64).T)
+        n = max(1, len(h) - size + 1)
+        own = np.zeros(n, np.uint64)
+        for j in range(min(size, len(h))):
+            own += h[j : j + n] * _odd[j]
+        own = mix(own)
+        if short[k]:
+            width = min(size, len(lead))
+            own = np.concatenate([own, mix(span_hash(sums, lead[: len(lead) - width + 1], edges[width:]) + np.uint64(3))])
+        out[k] = own
+    return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)]).astype(np.int64)
+
+
 _picks: dict[int, np.ndarray] = {}
 
 
@@ -74,7 +114,7 @@ def densify(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
 
 def sketch(raw: np.ndarray, at: np.ndarray, size: int = SHINGLE, bins: int = BINS, low_bits: int = LOW_BITS) -> tuple[np.ndarray, np.ndarray]:
     """(rows x bins) low-order bits, and which rows have a shingle."""
-    hashes, offsets = shingle_hashes(raw, at, size)
+    hashes, offsets = features(raw, at, size)
     n, shift = len(at) - 1, int(bins).bit_length() - 1
     rows = np.repeat(np.arange(n), np.diff(offsets))
     values = np.full(n * bins, np.uint64(2**64 - 1))
@@ -107,46 +147,64 @@ def _bytes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buffers(pa.array(texts, pa.large_string()))
 
 
-def with_next(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
-    """Rows (b, guest, doc_id, text) in ranges b of descending ids, sorted; each range ends with a guest: the row that comes
-    after its last one (after the very last: the first row). Equal ids stand together, by text; null ids come last.
+def with_next(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Rows (b, guest, none, doc_id, h, text) in ranges b of descending ids, sorted; each range ends with a guest: the row
+    that comes after its last one (after the very last: the first row). Rows with equal ids go by h, the text's hash; null
+    ids come last (none). An id that fills several ranges by itself, or null, is split into them by h.
 
-    Only as many numbers as there are ranges reach the driver; each text is shuffled once, the first of a range twice.
+    At most RANGES ranges reach the driver and the workers; each text is shuffled once, the first of a range twice.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    ranges = max(16, int(size // RANGE_BYTES))
-    bounds = np.array(sorted(set(rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))))
-    last = len(bounds) + 1
-
-    def place(ids: pd.Series) -> np.ndarray:
-        return np.where(ids.isna(), last, len(bounds) - np.searchsorted(bounds, ids.fillna(0).to_numpy(np.float64), "left"))
+    key = F.col(id_col).cast("long")
+    rows = df.select(key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("h"), text_or_empty(text).alias("text"))
+    weight = F.octet_length("text") + 64
+    size, loose = rows.agg(F.sum(weight), F.sum(F.when(F.col("none"), weight))).first()
+    of = lambda part, least: min(RANGES, max(least, int((part or 0) // RANGE_BYTES)))
+    ranges, null_parts = of(size, 16), of(loose, 1)
+    cuts = rows.where("not none").select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.1 / ranges)
+    limit = float(1 << 63)
+    ends, times = np.unique(np.array([int(min(max(c, -limit), limit - 1024)) for c in cuts], np.int64), return_counts=True)
+    # descending: ids above the last end, then for each end the ids up to it and above the one before; null ids
+    parts = np.concatenate([[1], times[::-1], [null_parts]])
+    first = np.concatenate([[0], np.cumsum(parts)])
+
+    def place(none: np.ndarray, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.where(none, len(parts) - 1, len(ends) - np.searchsorted(ends, ids, "left"))
+        # only an end itself is split: the ids below it, which come later, go with its last part
+        share = ((h.astype(np.float64) / 2.0**64 + 0.5) * parts[at]).astype(np.int64)
+        share = np.minimum(share, parts[at] - 1)
+        if len(ends):
+            own_end = ~none & (ids == ends[np.clip(len(ends) - at, 0, len(ends) - 1)])
+            share = np.where(none | own_end, share, parts[at] - 1)
+        return first[at] + share
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(place(ids))
+    def range_of(none: pd.Series, ids: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(place(none.to_numpy(bool), ids.to_numpy(np.int64), h.to_numpy(np.int64)))
 
-    heads = rows.select(range_of("doc_id").alias("b"), "doc_id").groupBy("b").agg(F.max("doc_id").alias("head")).orderBy("b").collect()
-    used = [r.b for r in heads]
-    before = {r.b: used[i - 1] for i, r in enumerate(heads)}
-    head_of = {r.b: r.head for r in heads}
+    placed = rows.withColumn("b", range_of("none", "doc_id", "h"))
+    head = F.min(F.struct("none", (-F.col("doc_id") - 1).alias("down"), "h")).alias("head")  # -x - 1 turns the order and never overflows
+    heads = placed.select("b", "none", "doc_id", "h").groupBy("b").agg(head).orderBy("b").collect()  # RANGES + RANGES rows at most
+    used = np.array([r["b"] for r in heads], np.int64)
+    known = [np.array([r["head"][c] for r in heads]) for c in ("none", "down", "h")]
+    before = np.roll(used, 1)
 
-    @F.pandas_udf("array<int>")
-    def targets(ids: pd.Series) -> pd.Series:
-        out = []
-        for b, i in zip(place(ids).tolist(), ids, strict=True):
-            head = head_of[b]
-            out.append([2 * b, 2 * before[b] + 1] if (i == head if head is not None else pd.isna(i)) else [2 * b])
-        return pd.Series(out)
+    @F.pandas_udf("int")
+    def guest_of(b: pd.Series, none: pd.Series, ids: pd.Series, h: pd.Series) -> pd.Series:
+        at = np.searchsorted(used, b.to_numpy(np.int64))
+        own = none.to_numpy(bool), -ids.to_numpy(np.int64) - 1, h.to_numpy(np.int64)
+        is_head = np.logical_and.reduce([x == k[at] for x, k in zip(own, known, strict=True)])
+        return pd.Series(np.where(is_head, before[at], -1).astype(np.int32))
 
-    dealt = rows.withColumn("t", F.explode(targets("doc_id"))).select(F.expr("t div 2").cast("int").alias("b"), (F.col("t") % 2 == 1).alias("guest"), "doc_id", "text")
-    return dealt.repartition("b").sortWithinPartitions("b", "guest", F.col("doc_id").desc_nulls_last(), "text"), ranges
+    held = placed.withColumn("guest_of", guest_of("b", "none", "doc_id", "h"))
+    targets = F.when(F.col("guest_of") < 0, F.array(F.struct(F.col("b"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("b"), F.lit(False).alias("guest")), F.struct(F.col("guest_of").alias("b"), F.lit(True).alias("guest"))))
+    dealt = held.withColumn("t", F.explode(targets)).select("t.b", "t.guest", "none", "doc_id", "h", "text")
+    return dealt.repartition("b").sortWithinPartitions("b", "guest", "none", F.col("doc_id").desc(), "h", "text")
 
 
 def fingerprints_with_edits(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: its fingerprint, that of its edited text (the last third replaced from the next row by descending
     id), and the likeness of its fingerprint to the edited text's and to the next row's."""
-    rows, _ = with_next(df, id_col, text)
+    rows = with_next(df, id_col, text)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def emit(ids: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
@@ -176,14 +234,18 @@ def fingerprints_with_edits(df: DataFrame, id_col: str = "doc_id", text: str = "
         for batch in batches:
             for part, _, _ in pieces(batch, "text"):
                 ids, texts, nexts = [], [], []
-                for b, guest, i, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if held is not None and held[0] == b:
+                for b, guest, none, i, _, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if held is not None:
+                        if held[0] != b:
+                            raise RuntimeError(f"the last row of range {held[0]} has no next")
                         ids.append(held[1])
                         texts.append(held[2])
                         nexts.append(t)
-                    held = None if guest else (b, i, t)
+                    held = None if guest else (b, None if none else i, t)
                 if ids:
                     yield emit(ids, texts, nexts)
+        if held is not None:
+            raise RuntimeError(f"the last row of range {held[0]} has no next")
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.mapInArrow(run, schema)
