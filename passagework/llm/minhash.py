@@ -182,7 +182,7 @@ def with_next(df: DataFrame, id_col: str, text: str) -> DataFrame:
         return pd.Series(place(none.to_numpy(bool), ids.to_numpy(np.int64), h.to_numpy(np.int64)))
 
     placed = rows.withColumn("b", range_of("none", "doc_id", "h"))
-    head = F.min(F.struct("none", (-F.col("doc_id") - 1).alias("down"), "h")).alias("head")  # -x - 1 turns the order and never overflows
+    head = F.min(F.struct("none", F.bitwise_not("doc_id").alias("down"), "h")).alias("head")  # ~x turns the order and never overflows
     heads = placed.select("b", "none", "doc_id", "h").groupBy("b").agg(head).orderBy("b").collect()  # RANGES + RANGES rows at most
     used = np.array([r["b"] for r in heads], np.int64)
     known = [np.array([r["head"][c] for r in heads]) for c in ("none", "down", "h")]
@@ -191,7 +191,7 @@ def with_next(df: DataFrame, id_col: str, text: str) -> DataFrame:
     @F.pandas_udf("int")
     def guest_of(b: pd.Series, none: pd.Series, ids: pd.Series, h: pd.Series) -> pd.Series:
         at = np.searchsorted(used, b.to_numpy(np.int64))
-        own = none.to_numpy(bool), -ids.to_numpy(np.int64) - 1, h.to_numpy(np.int64)
+        own = none.to_numpy(bool), ~ids.to_numpy(np.int64), h.to_numpy(np.int64)
         is_head = np.logical_and.reduce([x == k[at] for x, k in zip(own, known, strict=True)])
         return pd.Series(np.where(is_head, before[at], -1).astype(np.int32))
 
