@@ -6,10 +6,13 @@ equals), so equal windows have equal anchors, at the same distance. Windows in a
 text from the first one's start to the last one's end. Anchors that occur once in the corpus end here. Equal stretches
 are summed up, with their number as weight, before they are shuffled by anchor. Stretches with one anchor, a few shards
 of them at a time, are merged; the blocks of the merged order that have `length` symbols in common are the repeated
-strings. An anchor with more than HOT different stretches is not merged in one task: its stretches are cut anew by
-anchors under another hash, by which their windows spread, until no anchor is hot. A passage little longer than a window
-keeps its anchor hot, since every stretch holds some bytes of its own surroundings: what is hot after ROUNDS cuts has its
-windows counted by their 128-bit digests, in partial sums, so that no task takes an anchor whole.
+strings.
+
+An anchor with more than HOT different stretches is split, by how far before the anchor a window starts: the windows that
+start in the nearer half of the distances share the anchor with more bytes after it, those in the farther half with more
+bytes before it, and these longer grams are the new anchors. Each half is shorter, so stretches become equal and are summed
+up, or fall apart by their surroundings. What stays hot is split again; when one distance is left an anchor is a whole
+window, its stretches are all equal, and the splitting has ended: after 8 rounds at most, whatever the numbers.
 
 Defined results: a null text counts as empty; texts shorter than a window lose nothing; matches never cross documents;
 strings are judged on the input; rows with equal ids and texts are copies of each other and each lose what repeats;
@@ -31,8 +34,8 @@ from .bwt import Q, repeated_starts
 from .common import materialize, mix, pieces, powers, prefix_sums, span_hash, text_or_empty
 
 LENGTH, GRAM = 200, 50
-#: Different stretches of an anchor that one merge takes, symbols of a merge, and rounds of cutting anew.
-HOT, MERGE_SYMBOLS, ROUNDS = 2048, 60_000, 12
+#: Different stretches of an anchor that one merge takes, and symbols of a merge.
+HOT, MERGE_SYMBOLS = 2048, 60_000
 _SEGMENT = 1 << 23
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -48,8 +51,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def stretches(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM, salt: int = 0) -> tuple[np.ndarray, ...]:
-    """(row, first window, number of windows, anchor's hash, hash of the stretch), places counted from the row's start."""
+def stretches(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(row, first window, number of windows, anchor's hash, hash of the stretch, anchor's place in the stretch), places of
+    windows counted from the row's start."""
     out: list[tuple[np.ndarray, ...]] = []
     step = _SEGMENT - length
     for begin in range(0, max(1, len(raw) - length + 1), step):  # places must fit 24 bits; windows overlap, not stretches
@@ -58,7 +62,7 @@ def stretches(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
             break
         sums = prefix_sums(part)
         _, down = powers(len(sums))
-        h = mix((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1] + np.uint64(salt))
+        h = mix((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
         least = sliding_min((h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64)), length - gram + 1)
         anchor = (_LOW - (least & _LOW)).astype(np.int64)
         window = np.arange(len(anchor))
@@ -71,9 +75,9 @@ def stretches(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(window)))
         lo = window[first]
-        out.append((row[first], begin + lo - at[row[first]], count, h[anchor[first]], span_hash(sums, lo, lo + count + length - 1)))
+        out.append((row[first], begin + lo - at[row[first]], count, h[anchor[first]], span_hash(sums, lo, lo + count + length - 1), anchor[first] - lo))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -81,7 +85,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     """(doc_id, key, text) -> (doc_id, key, anchor)."""
     for batch in batches:
         for part, raw, at in pieces(batch, "text"):
-            row, _, _, anchor, _ = stretches(raw, at, length)
+            row, _, _, anchor, _, _ = stretches(raw, at, length)
             if len(row):
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(anchor.view(np.int64))], ["doc_id", "key", "anchor"])
@@ -91,20 +95,21 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     """(doc_id, key, text, anchors) -> the stretches of those anchors."""
     for batch in batches:
         for part, raw, at in pieces(batch, "text"):
-            row, first, count, anchor, own = stretches(raw, at, length)
+            row, first, count, anchor, own, rel = stretches(raw, at, length)
             lists = part.column(3)
             wanted = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(len(sizes)), sizes)
             keep = np.isin(_paired(anchor, row), _paired(wanted, of))
-            row, first, count, anchor, own = (x[keep] for x in (row, first, count, anchor, own))
+            row, first, count, anchor, own, rel = (x[keep] for x in (row, first, count, anchor, own, rel))
             if not len(row):
                 continue
             data, begin = raw.tobytes(), at[row] + first
             text = [data[i:j] for i, j in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)]
             rows = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(rows), part.column(1).take(rows), pa.array(first), pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64)), pa.array(text, pa.binary())], ["doc_id", "key", "first", "anchor", "own", "stretch"]
+                [part.column(0).take(rows), part.column(1).take(rows), pa.array(first), pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64)), pa.array(rel.astype(np.int32)), pa.array(text, pa.binary())],
+                ["doc_id", "key", "first", "anchor", "own", "rel", "stretch"],
             )
 
 
@@ -120,113 +125,93 @@ def _runs(offsets: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return offsets[np.concatenate([[0], gap + 1])].tolist(), (offsets[np.append(gap, len(offsets) - 1)] + length).tolist()
 
 
-_FOUND = pa.schema([("anchor", pa.int64()), ("own", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("stretch", pa.binary()), ("weight", pa.int64())])
+_FOUND = pa.schema([("anchor", pa.int64()), ("own", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
 
 def _merge_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, own, stretch, weight) sorted by anchor -> covered runs of each stretch that has any. The stretches of a hot
-    anchor come out as they are, with their text and without runs, and are kept nowhere."""
+    """(anchor, own, stretch, weight) sorted by anchor, HOT of each at most -> covered runs of each stretch that has any."""
     group: list[tuple] = []
-    waiting: list[list[tuple]] = []
-    size, hot, out = 0, False, []
+    waiting: list[tuple] = []
+    size, out = 0, []
 
     def solve() -> None:
-        rows = [r for g in waiting for r in g]
-        starts: dict[int, np.ndarray] = {}
-        string, offset = repeated_starts([r[2] for r in rows], np.array([r[3] for r in rows]), length) if rows else ((), ())
-        if len(string):
-            cut = np.flatnonzero(np.concatenate([[True], string[1:] != string[:-1]]))
-            for i, j in zip(cut.tolist(), np.append(cut[1:], len(string)).tolist(), strict=True):
-                starts[int(string[i])] = offset[i:j]
-        for k, found in starts.items():
-            a, b = _runs(found, length)
-            out.append((rows[k][0], rows[k][1], a, b, None, rows[k][3]))
+        nonlocal size
+        if waiting:
+            string, offset = repeated_starts([r[2] for r in waiting], np.array([r[3] for r in waiting]), length)
+            edges = np.concatenate([[0], np.flatnonzero(string[1:] != string[:-1]) + 1, [len(string)]])
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if i == j:
+                    continue
+                k = int(string[i])
+                out.append((waiting[k][0], waiting[k][1], *_runs(offset[i:j], length)))
         waiting.clear()
+        size = 0
 
     def close() -> None:
         nonlocal size
-        if hot or not group:
-            return
-        if len(group) == 1:
-            anchor, own, text, weight = group[0]
-            if weight >= 2:  # the same stretch throughout: an interval of its own
-                out.append((anchor, own, [0], [len(text)], None, weight))
-            return
-        own_size = sum(len(r[2]) + 1 for r in group)
-        if waiting and size + own_size > MERGE_SYMBOLS:
-            solve()
-            size = 0
-        waiting.append(list(group))
-        size += own_size
-
-    def flush(everything: bool) -> Iterator[pa.RecordBatch]:
-        if out and (everything or len(out) >= 4096):
+        if len(group) > 1 or group and group[0][3] > 1:
+            own = sum(len(r[2]) + 1 for r in group)
+            if size + own > MERGE_SYMBOLS:
+                solve()
+            waiting.extend(group)
+            size += own
+        group.clear()
+
+    def flush(least: int) -> Iterator[pa.RecordBatch]:
+        if len(out) >= least:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
             out.clear()
 
-    now = None
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if r[0] != now:
+            if group and r[0] != group[0][0]:
                 close()
-                now, group, hot = r[0], [], False
-                yield from flush(False)
+                yield from flush(4096)
             group.append(r)
-            if hot or len(group) > HOT:
-                out.extend((a, own, None, None, text, weight) for a, own, text, weight in group)
-                group, hot = [], True
-                yield from flush(False)
     close()
     solve()
-    yield from flush(True)
+    yield from flush(1)
 
 
-def _cut_anew(batches: Iterator[pa.RecordBatch], length: int, salt: int) -> Iterator[pa.RecordBatch]:
-    """Hot stretches (anchor, own, stretch, weight) -> the shorter ones that anchors under another hash make of them."""
-    for batch in batches:
-        for part, raw, at in pieces(batch, "stretch"):
-            row, first, count, anchor, own = stretches(raw, at, length, salt=mix(np.array([salt], np.uint64))[0])
-            data, begin = raw.tobytes(), at[row] + first
-            text = [data[i:j] for i, j in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)]
-            rows = pa.array(row)
-            old = part.column(0).take(rows)
-            # windows under different anchors differ, so the new anchor stands under the old one
-            under = mix(anchor + mix(old.to_numpy().view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([old, part.column(1).take(rows), part.column(3).take(rows), pa.array(first), pa.array(under.view(np.int64)), pa.array(own.view(np.int64)), pa.array(text, pa.binary())], ["old_anchor", "old_own", "weight", "shift", "anchor", "own", "stretch"])
+def _hash(*parts: bytes) -> int:
+    h = blake2b(digest_size=8)
+    for x in parts:
+        h.update(x)
+    return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Stretches (anchor, own, stretch, weight) -> each window's place in its stretch and digest."""
-    for batch in batches:
-        for anchor, own, text, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = len(text) - length + 1
-            digests = [blake2b(text[i : i + length], digest_size=16).digest() for i in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, anchor)), pa.array(np.full(n, own)), pa.array(np.full(n, weight)), pa.array(np.arange(n, dtype=np.int32)), pa.array(digests, pa.binary())], ["anchor", "own", "weight", "at", "digest"]
-            )
+_HALF = ["old_anchor", "old_own", "weight", "shift", "anchor", "own", "rel", "near", "far", "stretch"]
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, own, sorted places of repeated windows) -> the runs that they cover."""
+def _halved(batches: Iterator[pa.RecordBatch], length: int, gram: int = GRAM) -> Iterator[pa.RecordBatch]:
+    """Stretches (anchor, own, weight, rel, near, far, stretch) of windows that start near to far bytes before the anchor, which
+    is at rel -> those of either half of these distances, `shift` further on, under the longer anchors that its windows share."""
+    whole = length - gram
     for batch in batches:
-        runs = [_runs(x.values.to_numpy(), length) for x in batch.column(2)]
-        kind = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in runs], kind), pa.array([b for _, b in runs], kind)], ["anchor", "own", "starts", "ends"])
+        out = []
+        for anchor, own, weight, rel, near, far, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            middle = (near + far + 1) // 2
+            for lo, hi in ((near, middle - 1), (middle, far)):
+                first, last = max(0, rel - hi), min(len(text) - length, rel - lo)
+                if lo <= hi and first <= last:
+                    part, shared = text[first : last + length], text[rel - lo : rel + gram + whole - hi]
+                    out.append((anchor, own, weight, first, _hash(b"%d %d " % (lo, hi), shared), _hash(part), rel - first, lo, hi, part))
+        if out:
+            kinds = [pa.int64()] * 6 + [pa.int32()] * 3 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], _HALF)
 
 
-def _counted(hot: DataFrame, length: int) -> DataFrame:
-    """Hot stretches -> covered runs of each that has any, like those of merges, without gathering an anchor."""
-    windows = hot.select("anchor", "own", "stretch", "weight").mapInArrow(lambda b: _windows(b, length), "anchor long, own long, weight long, at int, digest binary")
-    often = materialize(windows.groupBy("digest").agg(F.sum("weight").alias("n")).where("n > 1").select("digest"), "digests")
-    repeated = windows.join(often, "digest").groupBy("anchor", "own").agg(F.array_sort(F.collect_list("at")).alias("at"))  # as many as a stretch has
-    found = repeated.mapInArrow(lambda b: _runs_of(b, length), "anchor long, own long, starts array<int>, ends array<int>")
-    return materialize(found.withColumn("stretch", F.lit(None).cast("binary")), "runs")
+def _hot(rows: DataFrame) -> DataFrame:
+    """(h_anchor): anchors with more than HOT different stretches in rows (anchor, own)."""
+    sizes = rows.select("anchor", "own").distinct().groupBy(F.col("anchor").alias("h_anchor")).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(sizes.where(F.col("n") > HOT).select("h_anchor"), "hot")
 
 
 def _merged(summed: DataFrame, length: int) -> DataFrame:
+    """(f_anchor, f_own, runs) of the stretches that have any."""
     rows = summed.select("anchor", "own", "stretch", "weight").repartition("anchor").sortWithinPartitions("anchor", "own")
-    found = rows.mapInArrow(lambda b: _merge_groups(b, length), "anchor long, own long, starts array<int>, ends array<int>, stretch binary, weight long")
-    return materialize(found, "runs")
+    found = materialize(rows.mapInArrow(lambda b: _merge_groups(b, length), "anchor long, own long, starts array<int>, ends array<int>"), "runs")
+    return found.select(F.col("anchor").alias("f_anchor"), F.col("own").alias("f_own"), F.arrays_zip("starts", "ends").alias("runs"))
 
 
 def find_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,28 +226,28 @@ def find_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
     wanted = anchors.join(often, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors"))  # as many as a text has
     wanted = materialize(wanted.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key"), "anchors"), "wanted")
     met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).select("doc_id", "key", "text", "anchors")
-    pieces_df = materialize(met.mapInArrow(lambda b: _cut_out(b, length), f"doc_id {kind}, key long, first long, anchor long, own long, stretch binary"), "stretches")
-    summed = pieces_df.groupBy("anchor", "own").agg(F.first("stretch").alias("stretch"), F.count(F.lit(1)).alias("weight"))
-    found = _merged(summed, length)
-    places = pieces_df.select("doc_id", "key", "first", "anchor", "own")
+    cut = materialize(met.mapInArrow(lambda b: _cut_out(b, length), f"doc_id {kind}, key long, first long, anchor long, own long, rel int, stretch binary"), "stretches")
+    places = cut.select("doc_id", "key", "first", "anchor", "own")
+    of_group = [F.first(c).alias(c) for c in ("rel", "near", "far", "stretch")]
+    rows = cut.withColumn("near", F.lit(0)).withColumn("far", F.lit(length - GRAM)).withColumn("weight", F.lit(1).cast("long"))
     out = None
-    for salt in range(1, ROUNDS + 3):
-        runs = found.where("stretch is null").select(F.col("anchor").alias("f_anchor"), F.col("own").alias("f_own"), F.arrays_zip("starts", "ends").alias("runs"))
+    while True:
+        hot = _hot(rows)
+        split = not hot.isEmpty()
+        cold = rows.join(hot, F.col("anchor") == F.col("h_anchor"), "left_anti") if split else rows
+        runs = _merged(cold.groupBy("anchor", "own").agg(F.sum("weight").alias("weight"), F.first("stretch").alias("stretch")), length)
         here = places.join(runs, (F.col("anchor") == F.col("f_anchor")) & (F.col("own") == F.col("f_own"))).select("doc_id", "key", "first", "runs")
         out = here if out is None else out.unionByName(here)
-        hot = found.where("stretch is not null")
-        if hot.isEmpty():
+        if not split:
             break
-        if salt > ROUNDS:
-            found = _counted(hot, length)
-            continue
-        anew = materialize(hot.select("anchor", "own", "stretch", "weight").mapInArrow(lambda b, salt=salt: _cut_anew(b, length, salt), "old_anchor long, old_own long, weight long, shift long, anchor long, own long, stretch binary"), "anew")
-        found = _merged(anew.groupBy("anchor", "own").agg(F.first("stretch").alias("stretch"), F.sum("weight").alias("weight")), length)
-        moves = anew.select("old_anchor", "old_own", "shift", F.col("anchor").alias("n_anchor"), F.col("own").alias("n_own"))
+        parts = rows.join(hot, F.col("anchor") == F.col("h_anchor"), "left_semi").groupBy("anchor", "own").agg(F.sum("weight").alias("weight"), *of_group)
+        names = ["anchor", "own", "weight", "rel", "near", "far", "stretch"]
+        rows = materialize(parts.select(names).mapInArrow(lambda b: _halved(b, length), "old_anchor long, old_own long, weight long, shift long, anchor long, own long, rel int, near int, far int, stretch binary"), "halves")
+        moves = rows.select("old_anchor", "old_own", "shift", F.col("anchor").alias("n_anchor"), F.col("own").alias("n_own"))
         moved = places.join(moves, (F.col("anchor") == F.col("old_anchor")) & (F.col("own") == F.col("old_own")))
-        places = moved.select("doc_id", "key", (F.col("first") + F.col("shift")).alias("first"), F.col("n_anchor").alias("anchor"), F.col("n_own").alias("own"))
+        places = materialize(moved.select("doc_id", "key", (F.col("first") + F.col("shift")).alias("first"), F.col("n_anchor").alias("anchor"), F.col("n_own").alias("own")), "places")
     flat = F.transform("runs", lambda r: F.struct((r["starts"] + F.col("first")).alias("start"), (r["ends"] + F.col("first")).alias("end")))
-    return out.groupBy("doc_id", "key").agg(F.array_sort(F.flatten(F.collect_list(flat))).alias("runs"))
+    return out.groupBy("doc_id", "key").agg(F.array_sort(F.flatten(F.collect_set(flat))).alias("runs"))  # as many as a text has
 
 
 def union_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
