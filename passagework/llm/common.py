@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Buckets over which gapless ranks are counted; fixed, so their table has a known size.
@@ -46,12 +46,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/passagework/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors.
+def materialize(df: DataFrame, name: str, seen: Observation | None = None, *what: Column) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors. `seen`
+    gets the aggregates `what` of the rows as they are written.
 
     The shuffle files of the write are removed when it is over, not whenever the driver next collects its garbage.
     """
     spark = df.sparkSession
+    schema = df.schema
+    df = df if seen is None else df.observe(seen, *what)
     path = new_path(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
@@ -59,7 +62,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def gapless_rank(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:

@@ -3,7 +3,7 @@ and components stay distributed, and each round is written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -22,21 +22,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links, written, with their number and a digest of them, told by the same job."""
+    seen = Observation()
+    now = materialize(edges, "links", seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("digest"))
+    return now, (seen.get["n"], seen.get["digest"])
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b), root being the smallest node that it reaches; other nodes than the
-    links' own are absent. Null ends, loops and repeated links are dropped. Raises if `rounds` don't suffice."""
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = mark(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        now = materialize(_small_star(_large_star(now)), "links")
-        after = mark(now)
+    links' own are absent. Null ends, loops and repeated links are dropped. Rounds go on until the links stay the same, which
+    is when each node but a root has one link, to its root."""
+    now, before = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while before[0]:
+        now, after = _written(_small_star(_large_star(now)))
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -13,13 +13,17 @@ and only if they have a common neighbour at ceil(tau / 2) bits, so each is sent
 what meets there is verified.
 
 Near duplicates by similarity (groups(), keep_one()): texts are equal, or their sets of 5-word shingles have a Jaccard
-similarity of 0.8 or more, in chains. SimHash fingerprints over the sets of words, at 8 or fewer differing bits, give
-families by the links above, and shared shingles give those that the fingerprints miss, without loss: under one order of
-all shingles, two sets of n and m shingles at 0.8 have one in common among the first n - ceil(0.8 n) + 1 and
+similarity of 0.8 or more, in chains. SimHash fingerprints over the sets of words, at WORD_TAU or fewer differing bits,
+give families by the links above, and shared shingles give those that the fingerprints miss, without loss: under one order
+of all shingles, two sets of n and m shingles at 0.8 have one in common among the first n - ceil(0.8 n) + 1 and
 m - ceil(0.8 m) + 1 (the prefix filter). The order puts shingles that are frequent in a sample last, so few documents meet
-by them; any order is right. What meets is linked if the sizes allow 0.8 and if the parities of 1024 hashed bits differ in
-no more places than the sets may differ, both of which every pair at 0.8 passes. Inside a family all pairs are verified
-on their sets of shingle hashes, in blocks of bounded size; large families are searched from linked members outwards.
+by them; any order is right. Of shingles by which the same documents meet one is kept; where more than HOT meet, they do
+so by classes of size. What meets is linked if the sizes allow 0.8 and if the parities of hashed bits differ in no more
+places than the sets may differ, both of which every pair at 0.8 passes.
+
+Families are verified on sets of shingle hashes. Every member is compared with its family's first, in salted parts, which
+settles nearly all; only those that are not similar to it (the rest) are compared with the others, in blocks of bounded
+size: each block of the rest with each of the family.
 
 Defined results: null or empty texts, or those without words, have the fingerprint zero; texts of fewer words than a
 shingle are one shingle; rows with equal ids or texts are linked like any others, and a component's id is the least
@@ -302,10 +306,12 @@ def near_duplicates(df: DataFrame, tau: int = 2, size: int = 3, id_col: str = "d
     return rows.join(by_fp, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of near duplicates: differing bits of word-set fingerprints, words of a shingle, documents of a block.
-WORD_TAU, WORDS, BLOCK = 8, 5, 4096
-#: Documents of the sample that orders shingles, occurrences in it that make one frequent, and bits of the parities.
-SAMPLE, FREQUENT, PARITIES = 20_000, 16, 1024
+#: Of near duplicates: differing bits of word-set fingerprints, words of a shingle, shingles of a block's documents (16 MB).
+WORD_TAU, WORDS, BLOCK = 2, 5, 1 << 21
+#: Documents of the sample that orders shingles, and occurrences in it that make one frequent.
+SAMPLE, FREQUENT = 20_000, 16
+#: Bits of a set's parities, those of sets over LONG shingles, for which they would say little, and LONG.
+PARITIES, MORE, LONG = 1024, 8192, 1200
 
 
 def _word_sets(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -340,12 +346,12 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, last: np.ndarray | None = None
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(at) - 1))]).astype(np.int64)
 
 
-def parities(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(rows x PARITIES / 64) words: whether an odd number of a row's hashes falls on a bit. They differ in no more bits than
+def parities(h: np.ndarray, offsets: np.ndarray, width: int = PARITIES) -> np.ndarray:
+    """(rows x width / 64) words: whether an odd number of a row's hashes falls on a bit. They differ in no more bits than
     the sets differ in members."""
     n = len(offsets) - 1
-    at = np.repeat(np.arange(n), np.diff(offsets)) * PARITIES + (h % np.uint64(PARITIES)).astype(np.int64)
-    odd = (np.bincount(at, minlength=n * PARITIES) & 1).astype(np.uint8).reshape(n, PARITIES)
+    at = np.repeat(np.arange(n), np.diff(offsets)) * width + (h % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * width) & 1).astype(np.uint8).reshape(n, width)
     return np.packbits(odd, axis=1).view(np.uint64)
 
 
@@ -355,6 +361,39 @@ def _may_be_alike(n: np.ndarray, bits: np.ndarray, other_n: np.ndarray, other_bi
     return (5 * np.minimum(n, other_n) >= 4 * np.maximum(n, other_n)) & (9 * differ <= n + other_n)
 
 
+class Marks:
+    """Sizes and parities of sets: what tells, without loss, that two can't be similar."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes], more: list[bytes | None]):
+        self.n = n
+        self.bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(n), PARITIES // 64)
+        long = [k for k, x in enumerate(more) if x]
+        self.more = np.frombuffer(b"".join(more[k] for k in long), np.uint64).reshape(len(long), MORE // 64)
+        self.at = np.full(len(n), -1)
+        self.at[long] = np.arange(len(long))
+
+    def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the sets x and y (indices, pairwise; or one x) may be at 0.8 or more."""
+        out = _may_be_alike(self.n[x], self.bits[x], self.n[y], self.bits[y])
+        both = np.flatnonzero(out & (self.at[x] >= 0) & (self.at[y] >= 0))
+        if len(both):
+            x, y = np.broadcast_to(x, out.shape)[both], y[both]
+            out[both] = _may_be_alike(self.n[x], self.more[self.at[x]], self.n[y], self.more[self.at[y]])
+        return out
+
+    def outwards(self, rest: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """(members, root) of the components of these sets by what may be alike."""
+
+        def linked(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(rest), bool)
+            for x in some:
+                left = np.flatnonzero(~out)
+                out[left] = self.alike(x, rest[left])
+            return out
+
+        return _outwards(rest, linked)
+
+
 def _frequent(docs: DataFrame) -> np.ndarray:
     """Shingles that occur in FREQUENT or more of about SAMPLE documents, however many there are."""
 
@@ -404,143 +443,194 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined_by_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, fp, n, bits) sorted by shingle -> links (a, b) that connect the fp of a shingle's rows that may be alike."""
-    kind = np.dtype([("fp", np.int64), ("n", np.int64), ("bits", np.uint64, (PARITIES // 64,))])
-
-    def linked(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rest), bool)
-        for x in some:
-            left = ~out
-            out[left] = _may_be_alike(x["n"], x["bits"], rest["n"][left], rest["bits"][left])
-        return out
-
-    shingles, held = np.zeros(0, np.int64), np.zeros(0, kind)
+    """(shingle, class, fp, n, bits, more) sorted by the first two -> links (a, b) that connect the fp of the rows of a
+    shingle and class that may be alike."""
+    held: list[list] = [[], [], [], [], [], []]
     for b in itertools.chain(batches, [None]):
         if b is not None:
-            new = np.zeros(b.num_rows, kind)
-            new["fp"], new["n"] = b.column(1).to_numpy(), b.column(2).to_numpy()
-            new["bits"] = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-            shingles, held = np.concatenate([shingles, b.column(0).to_numpy()]), np.concatenate([held, new])
-        if not len(held):
+            for old, c in zip(held, b.columns, strict=True):
+                old.extend(c.to_pylist())
+        if not held[0]:
             continue
-        edges = np.concatenate([[0], np.flatnonzero(shingles[1:] != shingles[:-1]) + 1, [len(held)]])
+        shingle, size_class, fp, n = (np.array(x, np.int64) for x in held[:4])
+        edges = np.concatenate([[0], np.flatnonzero((shingle[1:] != shingle[:-1]) | (size_class[1:] != size_class[:-1])) + 1, [len(fp)]])
         if b is not None:
-            edges = edges[:-1]  # the last shingle may go on
+            edges = edges[:-1]  # the last group may go on
+        upto = int(edges[-1])
+        if not upto:
+            continue
+        marks = Marks(n[:upto], held[4][:upto], held[5][:upto])
         begins, sizes = edges[:-1], np.diff(edges)
         two = begins[sizes == 2]
-        x, y = held[two], held[two + 1]
-        ok = _may_be_alike(x["n"], x["bits"], y["n"], y["bits"])
-        a, c = [x["fp"][ok]], [y["fp"][ok]]
+        two = two[marks.alike(two, two + 1)] if len(two) else two
+        out = [np.stack([fp[two], fp[two + 1]], 1)]
         for i, size in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            for members, root in _outwards(held[i : i + size], linked):
-                a.append(members["fp"])
-                c.append(np.full(len(members), root["fp"]))
-        a, c = np.concatenate(a), np.concatenate(c)
-        pairs = np.unique(np.stack([a, c], 1)[a != c], axis=0)
+            out += [np.stack([fp[members], np.full(len(members), fp[root])], 1) for members, root in marks.outwards(np.arange(i, i + size))]
+        pairs = np.concatenate(out)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-        shingles, held = shingles[edges[-1] :], held[edges[-1] :]
+        held = [x[upto:] for x in held]
 
 
 def links_by_shingles(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of the fp of texts (key, fp, n, bits): chains of them connect all texts at 0.8 or more. docs: key, text."""
+    """Links (a, b) of the fp of texts (key, fp, n, bits, more): chains of them connect all texts at 0.8 or more. docs: key,
+    text."""
     last = _frequent(docs)
     prefixes = docs.select("key", "text").mapInArrow(lambda b: _prefixes(b, last), "shingle long, key long")
     met = prefixes.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_met_again, "shingle long, key long")
     met = materialize(met, "shingles")
-    rows = met.join(texts.select("key", "fp", "n", "bits"), "key").select("shingle", "fp", "n", "bits").repartition("shingle").sortWithinPartitions("shingle")
-    return materialize(rows.mapInArrow(_joined_by_shingles, "a long, b long").distinct(), "links")
+    who = [F.count(F.lit(1)).alias("meet"), F.bit_xor(F.xxhash64("key")).alias("who"), F.min("key").alias("least"), F.max("key").alias("most")]
+    one = met.groupBy("shingle").agg(*who).groupBy("meet", "who", "least", "most").agg(F.min("shingle").alias("only")).select("only", "meet")
+    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) - 1e-9).cast("int")  # sets at 0.8 are in one class or in neighbouring ones
+    classes = F.explode(F.when(F.col("meet") > HOT, F.array(size_class, size_class + 1)).otherwise(F.array(F.lit(-1)))).alias("class")
+    rows = met.join(one, F.col("shingle") == F.col("only")).join(texts.select("key", "fp", "n", "bits", "more"), "key").select("shingle", classes, "fp", "n", "bits", "more")
+    dealt = rows.repartition("shingle", "class").sortWithinPartitions("shingle", "class")
+    return materialize(dealt.mapInArrow(_joined_by_shingles, "a long, b long").distinct(), "links")
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, text) -> (doc_id, key, fp, n, bits)."""
+    """(doc_id, key, text) -> (doc_id, key, fp, n, bits, more)."""
     from .common import pieces
 
     for batch in batches:
         for part, raw, at in pieces(batch, "text"):
             h, offsets = shingle_sets(raw, at)
+            n = np.diff(offsets)
             bits = [x.tobytes() for x in parities(h, offsets)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_word_sets(raw, at).view(np.int64)), pa.array(np.diff(offsets)), pa.array(bits, pa.binary())], ["doc_id", "key", "fp", "n", "bits"])
+            more = [parities(h[i:j], np.array([0, j - i]), MORE).tobytes() if j - i > LONG else None for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            cols = [part.column(0), part.column(1), pa.array(_word_sets(raw, at).view(np.int64)), pa.array(n), pa.array(bits, pa.binary()), pa.array(more, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "fp", "n", "bits", "more"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, blocks, key, bits, text) -> the same with the hashes of the text's shingles in its place."""
+    """(root, pivot, blocks, key, bits, more, text) -> the same with n and the hashes of the text's shingles for the text."""
     from .common import pieces
 
     for batch in batches:
         for part, raw, at in pieces(batch, "text"):
             h, offsets = shingle_sets(raw, at)
             own = [h[i:j].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(own, pa.binary())], ["root", "blocks", "key", "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(np.diff(offsets)), pa.array(own, pa.binary())], ["root", "pivot", "blocks", "key", "bits", "more", "n", "shingles"])
+
 
+def _similar(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which sets (ascending hashes) are at 0.8 or more of the union with `own`; sets without members are alike."""
+    n = np.array([len(x) for x in others], np.int64)
+    shared = np.zeros(len(others), np.int64)
+    has = np.flatnonzero(n)
+    if len(own) and len(has):
+        flat = np.concatenate([others[k] for k in has.tolist()])
+        common = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        shared[has] = np.add.reduceat(common, np.cumsum(n[has]) - n[has], dtype=np.int64)
+    return 9 * shared >= 4 * (len(own) + n)
 
-def _similar_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, i, j, key, bits, shingles) sorted by root, i, j, key -> links (a, b) of similar keys."""
-    kind = np.dtype([("key", np.int64), ("n", np.int64), ("bits", np.uint64, (PARITIES // 64,)), ("at", np.int64)])
-    now, keys, bits, sets = None, [], [], []
 
-    def alike(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rest), bool)
-        for x in some:
-            left = np.flatnonzero(~out)
-            left = left[_may_be_alike(x["n"], x["bits"], rest["n"][left], rest["bits"][left])]
-            if not len(left):
+def _against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, salt, key, pivot, shingles), sorted, the pivot itself first in each salt -> (root, key, pivot, alike)."""
+    group, own = None, None
+    for batch in batches:
+        roots, salts, keys, pivots, sets = (c.to_pylist() for c in batch.columns)
+        at, n = 0, len(roots)
+        while at < n:
+            if (roots[at], salts[at]) != group:
+                group, own = (roots[at], salts[at]), np.frombuffer(sets[at], np.uint64)
+                if keys[at] != pivots[at]:
+                    raise RuntimeError("a part of a family lacks its first")
+                at += 1
                 continue
-            own, others = sets[x["at"]], np.concatenate([sets[k] for k in rest["at"][left].tolist()])
-            common = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
-            n = rest["n"][left]
-            shared = np.add.reduceat(common, np.cumsum(n) - n, dtype=np.int64)
-            out[left] = 9 * shared >= 4 * (x["n"] + n)  # 0.8 of the union
-        return out
+            to = at
+            while to < n and to - at < 1024 and (roots[to], salts[to]) == group:
+                to += 1
+            alike = _similar(own, [np.frombuffer(x, np.uint64) for x in sets[at:to]])
+            yield pa.RecordBatch.from_arrays([pa.array(roots[at:to]), pa.array(keys[at:to]), pa.array(pivots[at:to]), pa.array(alike)], ["root", "key", "pivot", "alike"])
+            at = to
+
+
+def _rest_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, i, j, side, key, pivot, alike, n, bits, more, shingles) sorted by root, i, j -> links (a, b): side 0, a block of
+    the rest, with side 1, a block of the family. The members that are alike to the pivot count as one with it."""
+    now, rows = None, []
 
     def solve() -> Iterator[pa.RecordBatch]:
-        rows = np.zeros(len(keys), kind)
-        rows["key"], rows["n"], rows["at"] = keys, [len(x) for x in sets], np.arange(len(keys))
-        rows["bits"] = np.frombuffer(b"".join(bits), np.uint64).reshape(len(keys), -1)
-        empty = rows["n"] == 0
+        side, key, pivot, alike = (np.array([r[k] for r in rows]) for k in range(3, 7))
+        marks = Marks(np.array([r[7] for r in rows], np.int64), [r[8] for r in rows], [r[9] for r in rows])
+        sets = [np.frombuffer(r[10], np.uint64) for r in rows]
+        joined, loose = np.flatnonzero((side == 1) & alike), np.flatnonzero((side == 1) & ~alike)
+        label = {k: k for k in key.tolist()}
+
+        def find(k: int) -> int:
+            while label[k] != k:
+                label[k] = label[label[k]]
+                k = label[k]
+            return k
+
         a, b = [], []
-        for members, root in _outwards(rows[~empty], alike):
-            a.append(members["key"])
-            b.append(np.full(len(members), root["key"]))
-        if empty.sum() > 1:  # texts without words are alike
-            a.append(rows["key"][empty][1:])
-            b.append(np.full(empty.sum() - 1, rows["key"][empty][0]))
+        for x in np.flatnonzero(side == 0).tolist():
+            for some, one in ((joined, True), (loose, False)):
+                near = some[marks.alike(x, some)] if len(some) else some
+                if not one:
+                    near = near[[find(k) != find(int(key[x])) for k in key[near].tolist()]] if len(near) else near
+                if not len(near):
+                    continue
+                hits = near[_similar(sets[x], [sets[k] for k in near.tolist()])]
+                for y in [int(pivot[x])] if one and len(hits) else key[hits].tolist() if not one else []:
+                    a.append(int(key[x]))
+                    b.append(y)
+                    if not one:
+                        label[find(y)] = find(int(key[x]))
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        root, i, j, key, mark, own = (c.to_pylist() for c in batch.columns)
-        for r in zip(root, i, j, key, mark, own, strict=True):
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if r[:3] != now:
-                if len(keys) > 1:
+                if rows:
                     yield from solve()
-                now, keys, bits, sets = r[:3], [], [], []
-            if keys and keys[-1] == r[3]:
-                continue  # rows with equal ids and texts
-            keys.append(r[3])
-            bits.append(r[4])
-            sets.append(np.frombuffer(r[5], np.uint64))
-    if len(keys) > 1:
+                now, rows = r[:3], []
+            rows.append(r)
+    if rows:
         yield from solve()
 
 
+def _verified_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) of keys that connect what chains at 0.8 or more connect inside families. sets: see _sets()."""
+    salt = F.pmod(F.xxhash64("key"), "blocks")
+    own = sets.where("key <> pivot").select("root", salt.alias("salt"), F.lit(1).alias("side"), "key", "pivot", "shingles")
+    first = sets.where("key = pivot").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), F.lit(0).alias("side"), "key", "pivot", "shingles")
+    dealt = own.unionByName(first).repartition("root", "salt").sortWithinPartitions("root", "salt", "side").drop("side")
+    told = materialize(dealt.mapInArrow(_against_pivot, "root long, key long, pivot long, alike boolean"), "told")
+    out = told.where("alike").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    rest = told.where("not alike").select(F.col("root").alias("r_root"), F.col("key").alias("r_key"))
+    if rest.isEmpty():
+        return out
+    loose = materialize(sets.join(rest, (F.col("root") == F.col("r_root")) & (F.col("key") == F.col("r_key"))).drop("r_root", "r_key"), "rest")
+    parts = loose.groupBy(F.col("root").alias("p_root")).agg(F.ceil(F.sum(F.col("n") + 1) / BLOCK).alias("parts"))
+    mark = rest.select("r_root", "r_key", F.lit(True).alias("loose"))
+    family = sets.join(parts, F.col("root") == F.col("p_root")).join(mark, (F.col("root") == F.col("r_root")) & (F.col("key") == F.col("r_key")), "left")
+    columns = ["key", "pivot", "alike", "n", "bits", "more", "shingles"]
+    below = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    one = loose.join(parts, F.col("root") == F.col("p_root")).withColumn("alike", F.lit(False))
+    one = one.select("root", F.pmod(F.xxhash64("key"), "parts").alias("i"), below("blocks").alias("j"), F.lit(0).alias("side"), *columns)
+    other = family.withColumn("alike", F.col("loose").isNull()).select("root", below("parts").alias("i"), salt.alias("j"), F.lit(1).alias("side"), *columns)
+    dealt = one.unionByName(other).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return out.unionByName(dealt.mapInArrow(_rest_in_blocks, "a long, b long"))
+
+
 def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key (xxhash64 of the text), keeper: the least id (none: null) and its key of each row's group."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("key"), text_or_empty(text).alias("text"))
-    rows = materialize(docs.mapInArrow(_marks, f"doc_id {kind}, key long, fp long, n long, bits binary"), "marks")
+    rows = materialize(docs.mapInArrow(_marks, f"doc_id {kind}, key long, fp long, n long, bits binary, more binary"), "marks")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")).alias("first")
-    texts = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bits")], first), "texts")
+    texts = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bits", "more")], first), "texts")
     family = components(links(texts.select("fp").distinct(), WORD_TAU).unionByName(links_by_shingles(docs, texts)))
-    rooted = texts.join(family, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), F.col("key").alias("m_key"), "bits", F.col("first.id").alias("m_id"))
-    sizes = rooted.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(rooted.join(sizes, F.col("root") == F.col("r")).select("root", F.ceil(F.col("n") / BLOCK).alias("blocks"), "m_key", "m_id", "bits"), "members")
-    own = docs.join(members, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("root", "blocks", "key", "bits", "text")
-    sets = own.mapInArrow(_sets, "root long, blocks long, key long, bits binary, shingles binary")
-    met = sets.withColumn("own", F.pmod(F.xxhash64("key"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "bits", "shingles")
-    similar = materialize(pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key").mapInArrow(_similar_in_blocks, "a long, b long"), "similar")
-    found = components(similar)
+    rooted = texts.join(family, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), F.col("key").alias("m_key"), "n", "bits", "more", F.col("first.id").alias("m_id"))
+    sizes = rooted.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum(F.col("n") + 1) / BLOCK).alias("blocks"), F.min("m_key").alias("pivot")).where("members > 1")
+    members = materialize(rooted.join(sizes, F.col("root") == F.col("r")).select("root", "pivot", "blocks", "m_key", "m_id", "bits", "more"), "members")
+    own = docs.join(members, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).dropDuplicates(["key"]).select("root", "pivot", "blocks", "key", "bits", "more", "text")
+    sets = materialize(own.mapInArrow(_sets, "root long, pivot long, blocks long, key long, bits binary, more binary, n long, shingles binary"), "sets")
+    found = components(_verified_links(sets))
     named = texts.select("key", "first").join(found, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("g"))
     keepers = named.groupBy(F.col("g").alias("h")).agg(F.min("first").alias("keeper"))
     by_key = named.join(keepers, F.col("g") == F.col("h")).select(F.col("key").alias("k"), "keeper")

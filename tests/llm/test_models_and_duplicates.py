@@ -172,6 +172,29 @@ def test_pairs_around_the_threshold_are_told_exactly(spark):
     assert 1000 < max(want) and kept == want
 
 
+@pytest.mark.parametrize(("block", "hot"), [(1 << 21, 256), (700, 2)])
+def test_chains_whose_ends_differ(spark, block, hot, monkeypatch):
+    """Texts that change step by step, so most of a family is not similar to its first; long ones that share a passage."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    r, texts, passage = random.Random(3), [], prose(1, 90)
+    for c in range(4):
+        w = prose(300 + c, 240).split()
+        for k in range(25):
+            at = r.randrange(len(w) - 12)
+            w[at : at + r.randint(1, 9)] = prose(1000 * c + k, r.randint(1, 9)).split()
+            texts.append(" ".join(w))
+    texts += [f"{prose(700 + k, 1500)} {passage} {prose(800 + k, 400)}" for k in range(8)] + [f"{passage} {prose(900 + k, 15)}" for k in range(8)]
+    u = Union()
+    for i in range(len(texts)):
+        u.find(i)
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                u.join(i, j)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.keeper.doc_id for x in simhash.groups(df).collect()} == {i: u.find(i) for i in range(len(texts))}
+
+
 def test_prefixes_and_parities_lose_no_similar_pair():
     r = np.random.default_rng(3)
     for _ in range(300):
