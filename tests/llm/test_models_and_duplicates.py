@@ -405,11 +405,11 @@ def test_toxicity_is_learned_from_the_text_alone(spark, docs, clashing, nothing)
 def test_gradients_match_differences():
     r = np.random.default_rng(0)
     model = toxicity.Model()
-    docs = [(r.integers(0, toxicity.ROWS, n).astype(np.int32), r.integers(0, toxicity.ROWS, n).astype(np.int32)) for n in (5, 9, 1, 30)]
+    docs = [r.integers(0, toxicity.ROWS, (toxicity.PARTS, n)).astype(np.int32) for n in (5, 9, 1, 30)]
     y = np.array([1, 0, 1, 0], np.float32)
 
     def loss() -> float:
-        z = np.concatenate([model.logits(a, b, np.array([0, len(a)])) for a, b in docs])
+        z = np.concatenate([model.logits(rows, np.array([0, rows.shape[1]])) for rows in docs])
         return float(np.mean(np.log1p(np.exp(-z * (2 * y - 1)))))
 
     before = loss()
@@ -417,5 +417,30 @@ def test_gradients_match_differences():
     assert loss() < before
 
 
+def test_inflected_forms_share_rows():
+    rows, at = toxicity.word_rows(np.frombuffer("Achlicher achlichkeit r\u00e9eux achl".encode(), np.uint8), np.array([0, 35, 35]))
+    assert rows.shape == (toxicity.PARTS, 4) and at.tolist() == [0, 4, 4]
+    same = rows[:, 0] == rows[:, 1]
+    assert same.tolist() == [False, True, True, True, True] and (rows[:, 0] == rows[:, 3]).tolist() == [False, True, True, False, False]
+
+
+def test_held_out_rows_of_one_id_and_several_texts(spark):
+    """Rows that share an id are one training row, whichever task reads them, so models are the same."""
+    rows = [(k % 80, f"{prose(k, 30)}{' moron' if k % 80 < 30 else ''}", "en") for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k < 30)) for k in range(80)], "doc_id long, toxic int")
+    models = [toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n), labels) for n in (1, 7)]
+    assert (models[0].table == models[1].table).all() and models[0].offset == models[1].offset
+
+
+def test_accuracy_on_held_out_rows(spark):
+    from passagework.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    scored = queries.op2_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("toxic is not null").select("score", "toxic").collect()
+    score, y = np.array([r.score for r in scored]), np.array([r.toxic for r in scored])
+    above = (score[y == 1][:, None] > score[y == 0]).mean() + (score[y == 1][:, None] == score[y == 0]).mean() / 2
+    assert above > 0.97 and ((score >= 0.5) & (y == 1)).sum() / (y == 1).sum() > 0.85 and ((score >= 0.5) & (y == 1)).sum() / (score >= 0.5).sum() > 0.85
+
+
 def test_best_cut():
     assert toxicity.best_cut(np.array([3.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 0]), np.ones(4)) == 1.5
