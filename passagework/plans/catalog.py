@@ -21,6 +21,7 @@ from ..service import embed_documents
 from ..sources.embedders import HashingEmbedder, embedding
 from ..sources.store import ingest
 from ..streaming.jobs import run_jobs
+from . import sentences_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,20 +91,22 @@ def chunk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _name, _config in (("default", Snapping()), ("small", Snapping(200, 1))):
-    query(f"chunk_snapping_{_name}")(lambda spark, sf_dir, c=_config: table(spark, sf_dir, "documents").select("doc_id", F.posexplode(snapping(F.col("text"), c)).alias("chunk_idx", "chunk")))
+    query(f"chunk_snapping_{_name}", sentences_sql.snapping_sql(_config.size, _config.overlap))(
+        lambda spark, sf_dir, c=_config: table(spark, sf_dir, "documents").select("doc_id", F.posexplode(snapping(F.col("text"), c)).alias("chunk_idx", "chunk"))
+    )
 
 
-@query("split_sentences")
+@query("split_sentences", f"WITH {sentences_sql.groups_sql(1)} SELECT doc_id, g AS sentence_idx, content AS sentence FROM grouped")
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentence_groups(F.col("text"))).alias("sentence_idx", "sentence"))
 
 
-@query("sentence_groups_of_ten")
+@query("sentence_groups_of_ten", f"WITH {sentences_sql.groups_sql(10)} SELECT doc_id, g AS group_idx, content AS sentences FROM grouped")
 def sentence_groups_of_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentence_groups(F.col("text"), 10)).alias("group_idx", "sentences"))
 
 
-@query("chunk_semantic")
+@query("chunk_semantic", sentences_sql.semantic_sql(10, 0.5))
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = semantic(F.col("text"), Semantic(threshold=0.5), HashingEmbedder().embed)
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(out).alias("chunk_idx", "chunk"))
@@ -425,7 +428,15 @@ def vec_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("embed_search_end_to_end")
+@query(
+    "embed_search_end_to_end",
+    f"""WITH {sliding_sql(1000, 200)},
+chunked AS (SELECT doc_id || '-' || chunk_idx AS vec_id, chunk FROM windows),{sentences_sql.embedding_sql("chunked", "vec_id", "chunk")},
+asked AS (SELECT text AS chunk, item_id FROM benchmark ORDER BY item_id LIMIT 1),
+q AS (SELECT * FROM (WITH {sentences_sql.embedding_sql("asked", "item_id", "chunk")} SELECT embedding AS q FROM embedded)),
+scored AS (SELECT vec_id, list_cosine_similarity(embedding, q) AS score FROM embedded, q WHERE list_max(list_transform(embedding, lambda x: abs(x))) > 0)
+SELECT vec_id, chunk AS content, round(score, 6) AS score FROM scored JOIN chunked USING (vec_id) ORDER BY scored.score DESC, vec_id LIMIT 5""",
+)
 def embed_search_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents, embedded; the nearest ones to the first benchmark item."""
     e = HashingEmbedder()
@@ -434,6 +445,6 @@ def embed_search_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.withColumn("vec_id", F.concat_ws("-", "doc_id", "chunk_idx")), list(e.embed([asked])[0]), 5).select("vec_id", "content", F.round("score", 6).alias("score"))
 
 
-@query("embed_documents")
+@query("embed_documents", f"WITH {sentences_sql.embedding_sql('documents', 'doc_id', 'text')} SELECT doc_id, embedding FROM embedded")
 def embed_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", embedding(F.col("text"), HashingEmbedder()).alias("embedding"))

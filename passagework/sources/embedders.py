@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import urllib.request
@@ -50,13 +51,12 @@ class HashingEmbedder:
         return {"hashing-64": 64, "hashing-256": 256}
 
     def embed(self, texts: list[str], model: str = "hashing-64") -> np.ndarray:
-        import xxhash
-
-        size = size_of(self, model)
+        size, known = size_of(self, model), {}
         out = np.zeros((len(texts), size))
         for k, t in enumerate(texts):
             for w in (t or "").lower().split():
-                h = xxhash.xxh64_intdigest(w.strip(".,;:!?()[]\"'").encode())
+                if (h := known.get(w)) is None:
+                    h = known[w] = int(hashlib.md5(w.strip(".,;:!?()[]\"'").encode()).hexdigest()[:16], 16)
                 out[k, h % size] += 1.0 if h >> 63 else -1.0
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0)
