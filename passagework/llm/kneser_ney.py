@@ -1,18 +1,20 @@
 """Interpolated modified Kneser-Ney model over byte n-grams, and documents' perplexities by sharded count joins.
 
-Trained on trusted documents (labelled quality 1), all of them. Documents are dealt into blocks by a hash of their ids.
+Trained on trusted documents (labelled quality 1), all of them but every LEFT_OUT-th by a hash of the id, whose
+perplexities, of texts that the model has not seen, set the thresholds. Documents are dealt into blocks by a hash of their ids.
 One pass over the blocks gives each block's distinct n-grams with their counts in its trusted documents. Counts of all
 blocks are summed by n-gram, which shards them; the lower orders' continuation counts, discounts, and interpolated
 probabilities follow order by order, joined by n-gram. The probabilities go back to the blocks that need them (a row for
 each block and distinct n-gram, not for each occurrence), and a second pass over the blocks sums them up by document.
 Nothing of the model is broadcast or collected but the three discounts of each order.
 
-A document is rejected if its perplexity exceeds its language's threshold: a quantile over the trusted documents of that
-language, by MARGIN bits in all; languages with few trusted documents take the threshold over all of them.
+A document is rejected if its perplexity exceeds its language's threshold: the quantile over the trusted documents of that
+language that were left out; a language with fewer than LEAST of them takes the threshold over all that were left out.
 
 Defined results: null and empty texts have a null perplexity and are rejected; null or repeated labels: a document is
 trusted if its least label is 1; rows with equal ids are each scored; a null language counts as one of its own; without
-trusted documents every perplexity is that of the uniform distribution (256) and nothing but empty texts is rejected.
+trusted documents every perplexity is that of the uniform distribution (256) and nothing but empty texts is rejected;
+where no trusted document is left out, those that the model has seen set the thresholds.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from .common import materialize, pieces
 ORDER = 5
 #: Text bytes of a block, about.
 BLOCK_BYTES = 64 << 20
-#: Share of a language's trusted documents under its threshold, and the documents a quantile needs.
+#: Share of a language's left-out trusted documents under its threshold, and the documents a quantile needs.
 QUANTILE, LEAST = 0.99, 50
-#: Bits by which a text must be less likely than at its threshold: a few bytes alone are no evidence.
-MARGIN = 12.0
+#: One of so many trusted documents is left out of the counts.
+LEFT_OUT = 10
 
 
 def grams(raw: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -152,14 +154,19 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(7), part.column(4), pa.array(n, pa.int64()), pa.array(ppl, mask=n == 0)], ["doc_id", "key", "lang", "n_bytes", "perplexity"])
 
 
+def left_out(id_col: Column) -> Column:
+    return F.pmod(F.xxhash64(id_col, F.lit("left out")), F.lit(LEFT_OUT)) == 0
+
+
 def perplexities(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, key (xxhash64 of the text), lang, n_bytes, perplexity (per byte) of every row, and whether it is trusted."""
+    """doc_id, key (xxhash64 of the text), lang, n_bytes, perplexity (per byte) of every row, and whether it is trusted and
+    left_out (trusted, but not counted)."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id"), F.lit(max(16, -(-size // BLOCK_BYTES)))).cast("int").alias("block")
     trusted = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast(kind).alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    first = docs.select(block, F.lit(1).alias("kind"), "doc_id", "text").unionByName(trusted.select(block, F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("string").alias("text")))
+    first = docs.select(block, F.lit(1).alias("kind"), "doc_id", "text").unionByName(trusted.where(~left_out(F.col("doc_id"))).select(block, F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("string").alias("text")))
     needed = materialize(first.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_block_grams, "block int, gram long, n long"), "grams")
     counts = materialize(needed.groupBy("gram").agg(F.sum("n").alias("c")), "counts")
     p = probabilities(counts)
@@ -170,15 +177,18 @@ def perplexities(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     summed = texts.unionByName(tables).repartition("block").sortWithinPartitions("block", "kind")
     scored = materialize(summed.mapInArrow(_sum_up, f"doc_id {kind}, key long, lang string, n_bytes long, perplexity double"), "perplexities")
     sure = trusted.select(F.col("doc_id").alias("t_id"))
-    return scored.join(sure, F.col("doc_id") == F.col("t_id"), "left").withColumn("trusted", F.col("t_id").isNotNull()).drop("t_id")
+    return scored.join(sure, F.col("doc_id") == F.col("t_id"), "left").withColumn("trusted", F.col("t_id").isNotNull()).withColumn("left_out", F.col("trusted") & left_out(F.col("doc_id"))).drop("t_id")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> tuple[dict[str | None, float], float]:
-    """A threshold for each language with enough trusted documents, and the common one."""
+    """A threshold for each language with enough left-out documents, and the common one."""
     sure = scored.where("trusted and perplexity is not null")
-    at = F.percentile_approx("perplexity", quantile, 10_000)
-    common = sure.agg(at.alias("t")).first()["t"]
-    by = sure.groupBy("lang").agg(at.alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).collect()  # a row for each language
+    unseen = sure.where("left_out")
+    at = F.percentile_approx("perplexity", quantile, 10_000).alias("t")
+    by = unseen.groupBy("lang").agg(at, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).collect()  # a row for each language
+    common = unseen.agg(at).first()["t"]
+    if common is None:
+        common = sure.agg(at).first()["t"]
     return {r["lang"]: r["t"] for r in by}, float("inf") if common is None else common
 
 
@@ -201,5 +211,4 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """doc_id, key (xxhash64 of the text), lang, n_bytes, perplexity, threshold, accepted for every row."""
     scored = materialize(perplexities(df, labels, id_col, text, lang), "scored")
     cut = threshold_of(*thresholds(scored, quantile), F.col("lang"))
-    beyond = F.col("n_bytes") * (F.log2("perplexity") - F.log2(cut))
-    return scored.select("doc_id", "key", "lang", "n_bytes", "perplexity", cut.alias("threshold"), F.coalesce(beyond <= MARGIN, F.lit(False)).alias("accepted"))
+    return scored.select("doc_id", "key", "lang", "n_bytes", "perplexity", cut.alias("threshold"), F.coalesce(F.col("perplexity") <= cut, F.lit(False)).alias("accepted"))

@@ -328,7 +328,9 @@ def kneser_ney_brute(trusted: list[bytes], order: int):
 def test_perplexities_against_brute_force(spark, docs, clashing, nothing):
     labels = spark.createDataFrame([(6, 1), (9, 1), (9, 1), (10, 1), (13, 0), (13, 1), (None, 1), (17, None), (15, 1), (777, 1)], "doc_id long, quality int")
     rows = docs.where("doc_id is null or doc_id <> 8").collect()
-    trusted = [(r.text or "").encode() for r in rows if r.doc_id in (6, 9, 10, 15)]
+    counted = {r.i for r in spark.range(20).toDF("i").where(~kneser_ney.left_out(F.col("i"))).collect()}
+    assert {6, 9, 10, 15} - counted != {6, 9, 10, 15}
+    trusted = [(r.text or "").encode() for r in rows if r.doc_id in {6, 9, 10, 15} & counted]
     perplexity = kneser_ney_brute(trusted, kneser_ney.ORDER)
     want = sorted(((r.doc_id, perplexity((r.text or "").encode())) for r in rows), key=repr)
     got = kneser_ney.quality(clashing.where("doc_id is null or doc_id <> 8"), labels).collect()
@@ -345,21 +347,24 @@ def test_perplexities_against_brute_force(spark, docs, clashing, nothing):
 
 
 def test_thresholds_are_the_languages_quantiles(spark):
-    """No slack on them: a text of half as much more perplexity than the quantile is rejected, one at it is not."""
-    rows = [(k, 0, lang, 1000, p + k / 100, True) for lang, p in (("en", 4.0), ("de", 6.0)) for k in range(100)]
-    rows += [(200, 0, "en", 1000, 7.0, False), (201, 0, "en", 1000, 4.9, False), (202, 0, "de", 1000, 7.0, False)]
-    scored = spark.createDataFrame(rows, "doc_id long, key long, lang string, n_bytes long, perplexity double, trusted boolean")
+    """Over the trusted documents that were left out of the counts, and no slack on them."""
+    rows = [(k, 0, lang, 1000, p + k / 100, True, True) for lang, p in (("en", 4.0), ("de", 6.0)) for k in range(100)]
+    rows += [(200, 0, "en", 1000, 7.0, False, False), (201, 0, "en", 1000, 1.0, True, False), (202, 0, "fr", 1000, 2.0, True, True)]
+    scored = spark.createDataFrame(rows, "doc_id long, key long, lang string, n_bytes long, perplexity double, trusted boolean, left_out boolean")
     cuts, common = kneser_ney.thresholds(scored)
     assert cuts == {"en": 4.98, "de": 6.98} and 6.9 < common < 7
-    texts = [(k, " ".join(prose(k, 120).split()), "en") for k in range(120)]
+    assert kneser_ney.thresholds(scored.withColumn("left_out", F.lit(False)))[1] > 4
+    texts = [(k, " ".join(prose(k, 120).split()), "en") for k in range(700)]
     r = random.Random(8)
     texts += [(1000 + k, " ".join("".join(r.sample(w, len(w))) for w in prose(4000 + k, 60).split()), "en") for k in range(40)]
-    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").withColumn("unseen", kneser_ney.left_out(F.col("doc_id")))
     labels = spark.createDataFrame([(i, int(i < 1000)) for i, _, _ in texts], "doc_id long, quality int")
-    got = {r.doc_id: r for r in kneser_ney.quality(df, labels).collect()}
-    ordered = sorted(got[k].perplexity for k in range(120))
-    assert got[0].threshold in ordered[-3:]
-    assert sum(got[k].accepted for k in range(120)) >= 118 and not any(got[1000 + k].accepted for k in range(40))
+    unseen = {x.doc_id for x in df.where("unseen and doc_id < 1000").collect()}
+    got = {x.doc_id: x for x in kneser_ney.quality(df, labels).collect()}
+    ordered = sorted(got[k].perplexity for k in unseen)
+    assert len(unseen) >= 50 and got[0].threshold in ordered[-3:]
+    assert sum(got[k].accepted for k in range(700)) >= 690 and not any(got[1000 + k].accepted for k in range(40))
+    assert all(x.accepted == (x.perplexity <= x.threshold) for x in got.values())
 
 
 def test_probabilities_sum_to_one(spark):
