@@ -3,11 +3,14 @@
 An ARC file starts with a version block, whose second line holds the version and whose third line names the fields of
 the header lines that follow. A record is a header line, then as many bytes as its last field declares, then a newline.
 The converter reads the fields by those names, so either version's lines come out alike, and makes for each record a
-WARC identifier, timestamp, type and digests. Archives are written and read by Spark: any store Spark knows will do.
-
-Defined results: a null html is an empty payload; null urls and ids are left out of the headers and come back as null;
-a damaged header line ends its archive with one row of kind "error" that holds the offset and the line; an empty table
-gives archives without records. Equal rows give equal records, one each. Columns other than those named are not read.
+WARC identifier, timestamp, type and digests; the version block becomes a warcinfo record. Archives are gzip files with a
+member for each record, of ARCHIVE_BYTES before compression or one record. They are written and read by Spark, so any store
+that Spark knows will do; after an archive's last member stands an empty one, which Spark's writer puts there.
+
+Defined results: a null html is an empty payload; null urls and ids are left out of the headers and come back as null. A
+damaged header line gives a row of kind "error" with its offset and text. What follows is read on: after the declared
+length if the line has one that leads to another record, else from the next line that has the shape of a header. Converted,
+an error is a metadata record that tells it. An empty table gives no archives. Equal rows give equal records, one each. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_END = "\r\n\r\n"
+#: A gzip member without content: what separates the rows of a file that Spark writes.
+EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
-#: Uncompressed bytes of an archive, about; a larger record is an archive by itself.
+#: Bytes of an archive before compression; a larger record is an archive by itself.
 ARCHIVE_BYTES = 32 << 20
 #: Payloads below this many bytes are never deduplicated.
 LEAST_REVISIT = 100
@@ -60,69 +65,111 @@ def http_block(payload: bytes, page_id: int | None) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
+def member(data: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def write_archives(archives: DataFrame, path: str) -> None:
+    """A file for each row of archives (value: gzip members)."""
+    rows = archives.select(F.col("value").cast("string").alias("value"))
+    rows.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), id_col: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """ARC archives (gzip) of the rows' pages; the versions take turns by archive."""
-    size = F.octet_length(F.coalesce(F.col(html), F.lit(""))) + 300
-    total = pages.agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    # the writer starts a file at every so many records; the first of each is a version block
-    each = max(2, int(total["rows"] * ARCHIVE_BYTES / max(1, total["bytes"] or 0)))
+    """ARC archives of the rows' pages; the versions take turns by task."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        k, made, offset = TaskContext.get().partitionId(), 0, 0
-        version, name = versions[k % len(versions)], "-"
+        k, number, offset, out = TaskContext.get().partitionId(), 0, 0, []
+        version = versions[k % len(versions)]
+
+        def archive() -> pa.RecordBatch:
+            nonlocal number, offset
+            made = pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["value"])
+            number, offset = number + 1, 0
+            out.clear()
+            return made
+
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                out = []
                 for page_id, target, body in zip(*(c.to_pylist() for c in b.slice(i, 256).columns), strict=True):
-                    if made % each == 0:
-                        name = f"pages-{k:06d}-{made // each:06d}.arc"
-                        head = arc_version_block(name, version)
-                        offset, made = len(head), made + 1
-                        out.append(head.removesuffix("\n").encode())
-                    out.append(arc_record(target, http_block((body or "").encode(), page_id), version, CAPTURED, offset, name))
-                    offset, made = offset + len(out[-1]) + 1, made + 1
-                yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in out], pa.string())], ["value"])
+                    block = http_block((body or "").encode(), page_id)
+                    if out and offset + len(block) > ARCHIVE_BYTES:
+                        yield archive()
+                    name = f"pages-{k:06d}-{number:06d}.arc"
+                    if not out:
+                        head = arc_version_block(name, version).encode()
+                        out.append(member(head))
+                        offset = len(head)
+                    record = arc_record(target, block, version, CAPTURED, offset, name) + b"\n"
+                    out.append(member(record))
+                    offset += len(record)
+        if out:
+            yield archive()
 
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url).alias("u"), F.col(html).alias("h"))
-    rows.mapInArrow(encode, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    write_archives(rows.mapInArrow(encode, "value binary"), path)
 
 
 def unzipped(data: bytes) -> bytes:
     """The bytes of a file, through all members of a gzip file."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data:
+    out, view, at = [], memoryview(data), 0
+    while at < len(data):
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
+        while not d.eof and at < len(data):  # in steps, so what is left over is never copied often
+            out.append(d.decompress(view[at : at + (1 << 16)]))
+            at = min(at + (1 << 14), len(data))
+        at -= len(d.unused_data)
+        if not d.eof:
+            break
     return b"".join(out)
 
 
+#: What a header line looks like where a damaged one has left no length to go by.
+_HEADER = re.compile(rb"(?<=\n)\S+ \d{1,3}(?:\.\d{1,3}){3} \d{14} [^\n]* \d+(?=\n)")
+
+
 def parse_arc(data: bytes, archive: str = "") -> Iterator[dict]:
-    """Records of an ARC file; header fields are found by the names in its version block."""
+    """Records (and version blocks, of kind "version") of an ARC file; header fields are found by the names in its version
+    block."""
     at, fields = 0, None
+
+    def shaped(line: bytes) -> bool:
+        parts = line.split(b" ")
+        return parts[-1].isdigit() and len(parts) == len(fields or ARC_FIELDS[1])
+
     while at < len(data):
         if data[at : at + 1] == b"\n":  # the newline after a record
             at += 1
             continue
         end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace")
-        parts = line.split(" ")
-        if end < 0 or not parts[-1].isdigit() or (fields and len(parts) != len(fields)):
-            yield {"kind": "error", "archive": archive, "offset": at, "error": line[:500]}
-            return
-        start, stop = end + 1, end + 1 + int(parts[-1])
-        if stop > len(data):
-            yield {"kind": "error", "archive": archive, "offset": at, "error": f"declared {parts[-1]} bytes: {line[:400]}"}
-            return
+        end = len(data) if end < 0 else end
+        line = data[at:end]
+        text = line.decode("utf-8", "replace")
+        parts = text.split(" ")
+        declared = int(parts[-1]) if parts[-1].isdigit() and len(parts[-1]) < 19 else -1
+        start, stop = end + 1, end + 1 + declared
+        first = parts[0].startswith("filedesc:")
+        if declared < 0 or stop > len(data) or not (first or shaped(line)):
+            why = text[:500] if declared < 0 or stop <= len(data) else f"declared {declared} bytes: {text[:400]}"
+            yield {"kind": "error", "archive": archive, "offset": at, "error": why}
+            follows = data[stop : stop + (1 << 16)].lstrip(b"\n").split(b"\n", 1)[0] if 0 <= declared and stop <= len(data) else b""
+            if follows and shaped(follows):
+                at = stop
+            else:
+                found = next((m for m in _HEADER.finditer(data, end) if shaped(m[0])), None)
+                at = found.start() if found else len(data)
+            continue
         block = data[start:stop]
-        if parts[0].startswith("filedesc:"):
+        if first:
             said = block.decode("utf-8", "replace").split("\n")
-            version = int(said[0].split(" ")[0]) if said[0][:1].isdigit() else 1
+            version = int(said[0].split(" ")[0]) if said[0][:1].isdigit() and said[0].split(" ")[0].isdigit() else 1
             fields = said[1].split(" ") if len(said) > 1 and said[1].startswith("URL") else ARC_FIELDS.get(version, ARC_FIELDS[1])
+            yield {"kind": "version", "archive": archive, "offset": at, "url": parts[0], "date": parts[2] if len(parts) > 2 else None, "http": "", "payload": block, "error": None}
         else:
             got = dict(zip(fields or ARC_FIELDS[1], parts, strict=False))
             http, payload = split_http(block)
@@ -138,11 +185,11 @@ def split_http(block: bytes) -> tuple[str, bytes]:
 
 
 def files(spark, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path", "content")
 
 
 def read_arc(spark, path: str) -> DataFrame:
-    """A row for each record (or error) of the ARC archives under path; see ARC_ROW."""
+    """A row for each record, version block or error of the ARC archives under path; see ARC_ROW."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("http", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("error", pa.string())])
@@ -191,13 +238,25 @@ def warc_record(kind: str, url: str | None, ip: str | None, date: str | None, ht
     lines += [f"WARC-IP-Address: {ip}"] if ip and ip != IP else []
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}"]
     lines += [f"WARC-Refers-To: {first}", f"WARC-Profile: {REVISIT_PROFILE}"] if kind == "revisit" else []
-    lines += ["Content-Type: application/http; msgtype=response" if http else "Content-Type: application/octet-stream", f"Content-Length: {len(block)}"]
+    content = {"warcinfo": "application/warc-fields", "metadata": "text/plain"}.get(kind, "application/http; msgtype=response" if http else "application/octet-stream")
+    lines += [f"Content-Type: {content}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
+def other_record(r: dict) -> bytes:
+    """The warcinfo record of a version block, or the metadata record that tells an error."""
+    if r["kind"] == "version":
+        kind, said = "warcinfo", b"software: passagework\r\nformat: WARC File Format 1.1\r\nconverted-from: " + b" ".join(r["payload"].split()) + b"\r\n"
+    else:
+        kind, said = "metadata", f"damaged at {r['offset']} of {r['archive']}: {r['error']}".encode()
+    digest = hashlib.sha256(said).hexdigest()
+    return warc_record(kind, None, None, r.get("date"), "", said, digest, record_id(kind, r["archive"], r["offset"]), None)
+
+
 def convert(spark, arc: str, warc: str) -> None:
-    """WARC archives (gzip) of the ARC archives under `arc`. Of records with equal payloads of LEAST_REVISIT bytes or more,
-    that with the smallest page id (none: last), then place, is the response; the others revisit it.
+    """WARC archives, one of each of the ARC archives under `arc`. Of records with equal payloads of LEAST_REVISIT bytes or
+    more, that with the smallest page id (none: last), then place, is the response; the others revisit it. What is damaged
+    becomes metadata records, and version blocks warcinfo records.
 
     The first of each payload is found from rows without payloads, with partial sums before the shuffle. What the records
     of an archive revisit goes to that archive, still compressed, so payloads are never shuffled by themselves.
@@ -217,24 +276,20 @@ def convert(spark, arc: str, warc: str) -> None:
         for b in batches:
             for name, content, later in zip(*b.columns, strict=True):
                 of = {x["offset"]: x["first_at"] for x in later.as_py() or ()}
-                out, size = [], 0
+                out = []
                 for r in parse_arc(unzipped(content.as_py()), name.as_py()):
-                    if r["kind"] != "record":
-                        continue
-                    # the digest is the content's, the place in the old archive tells equal captures apart
-                    first_at = of.get(r["offset"])
-                    first_id = record_id(r["digest"], first_at) if first_at else None
-                    own = record_id(r["digest"], f"{r['archive']}/{r['offset']}")
-                    out.append(warc_record("revisit" if first_at else "response", r["url"], r["ip"], r["date"], r["http"], r["payload"], r["digest"], own, first_id))
-                    size += len(out[-1])
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                        out, size = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    made = wanted.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
-    made.write.option("lineSep", WARC_END).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(warc)
+                    if r["kind"] == "record":
+                        # the digest is the content's, the place in the old archive tells equal captures apart
+                        first_at = of.get(r["offset"])
+                        first_id = record_id(r["digest"], first_at) if first_at else None
+                        own = record_id(r["digest"], f"{r['archive']}/{r['offset']}")
+                        made = warc_record("revisit" if first_at else "response", r["url"], r["ip"], r["date"], r["http"], r["payload"], r["digest"], own, first_id)
+                    else:
+                        made = other_record(r)
+                    out.append(member(made + WARC_END.encode()))
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["value"])
+
+    write_archives(wanted.mapInArrow(encode, "value binary"), warc)
 
 
 def parse_warc(data: bytes, archive: str = "") -> Iterator[dict]:
@@ -288,7 +343,7 @@ def pages_through_archives(pages: DataFrame) -> DataFrame:
     convert(spark, arc, warc)
     page = http_header(F.col("http"), "X-Page-Id").cast("long")
     length = F.coalesce(http_header(F.col("http"), "Content-Length").cast("long"), F.octet_length("payload").cast("long"))
-    got = read_warc(spark, warc).select(
+    got = read_warc(spark, warc).where(F.col("kind").isin("response", "revisit")).select(
         page.alias("page_id"), length.alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_to").alias("first_id"),
         "url", F.col("date").alias("warc_date"), "record_id", "intact",
     )

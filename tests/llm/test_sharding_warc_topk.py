@@ -84,9 +84,49 @@ def test_no_pages(spark, pages):
 def test_arc_versions(version):
     data = warc.arc_version_block("x.arc", version).encode() + warc.arc_record("http://h/p", warc.http_block(b"body\n\nmore", 5), version) + b"\n" + warc.arc_record(None, b"no http", version) + b"\n"
     rows = list(warc.parse_arc(data, "x"))
-    assert [(r["url"], r["payload"], r["date"]) for r in rows] == [("http://h/p", b"body\n\nmore", warc.CAPTURED), (None, b"no http", warc.CAPTURED)]
+    assert rows[0]["kind"] == "version" and [(r["url"], r["payload"], r["date"]) for r in rows[1:]] == [("http://h/p", b"body\n\nmore", warc.CAPTURED), (None, b"no http", warc.CAPTURED)]
     cut = list(warc.parse_arc(data[:-20], "x"))
-    assert [r["kind"] for r in cut] == ["record", "error"]
+    assert [r["kind"] for r in cut] == ["version", "record", "error"]
+
+
+def archive(version: int, n: int) -> list[bytes]:
+    return [warc.arc_version_block("x.arc", version).encode()] + [warc.arc_record(f"http://h/{k}", warc.http_block(b"%d " % k * 60, k), version) + b"\n" for k in range(n)]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("damage", ["fields", "length", "rubbish"])
+def test_damaged_headers_are_told_and_passed_over(spark, tmp_path, version, damage):
+    parts = archive(version, 5)
+    head, _, block = parts[3].partition(b"\n")
+    own = head.split(b" ")
+    parts[3] = {"fields": b" ".join([own[0], *own[2:]]), "length": b" ".join([*own[:-1], b"12x4"]), "rubbish": b"\xff\xfe"}[damage] + b"\n" + block
+    data = b"".join(parts)
+    kinds = [r["kind"] for r in warc.parse_arc(data, "x")]
+    assert kinds == ["version", "record", "record", "error", "record", "record"]
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    (folder / "a.arc.gz").write_bytes(b"".join(map(warc.member, parts)))
+    (folder / "b.arc").write_bytes(b"".join(archive(version, 3)))
+    warc.convert(spark, f"file://{folder}", f"file://{tmp_path}/warc")
+    got = warc.read_warc(spark, f"file://{tmp_path}/warc").collect()
+    assert all(r.intact for r in got)
+    count = {k: sum(r.kind == k for r in got) for k in ("warcinfo", "response", "revisit", "metadata")}
+    assert count == {"warcinfo": 2, "response": 5, "revisit": 2, "metadata": 1}
+    assert [bytes(r.payload).startswith(b"damaged at") for r in got if r.kind == "metadata"] == [True]
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Skewed sizes: thousands of small pages and a few large ones; a member for each record."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 100_000)
+    rows = [(k, "u", "x" * 60) for k in range(3000)] + [(10_000 + k, "u", chr(65 + k) * 90_000) for k in range(5)] + [(20_000, "u", "y" * 300_000)]
+    warc.write_arc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/arc")
+    sizes = []
+    for (data,) in warc.files(spark, f"file://{tmp_path}/arc").select("content").collect():
+        parts = list(warc.parse_arc(warc.unzipped(bytes(data))))
+        assert bytes(data).count(b"\x1f\x8b\x08") >= len(parts) + 1 and parts[0]["kind"] == "version" and not any(r["kind"] == "error" for r in parts)
+        sizes.append((len(warc.unzipped(bytes(data))), len(parts) - 1))
+    assert sum(n for _, n in sizes) == len(rows) and len(sizes) > 8
+    assert all(size < 130_000 or n == 1 for size, n in sizes)
 
 
 def test_warc_dates_and_damage():
