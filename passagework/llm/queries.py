@@ -21,6 +21,26 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+OP1_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+n AS (SELECT doc_id, h, octet_length(h) AS size FROM d),
+p AS (SELECT doc_id, size, unnest(range(0, greatest(size - 199, 0), 500)) AS p, h FROM n),
+w AS (SELECT doc_id, p, array_slice(h, p + 1, p + 699) AS part, unnest(range(least(500, size - 199 - p))) AS j FROM p),
+m AS (SELECT doc_id, p + j AS i, md5(array_slice(part, j + 1, j + 200)) AS m FROM w),
+again AS (SELECT m FROM m GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS new FROM m WHERE m IN (SELECT m FROM again)),
+numbered AS (SELECT doc_id, i, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit),
+spans AS (SELECT doc_id, run, min(i) AS s, max(i) + 200 AS e FROM numbered GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, string_agg(CASE WHEN upto > begun THEN hex(array_slice(h, begun + 1, upto)) ELSE '' END, '' ORDER BY begun) AS k FROM (
+    SELECT doc_id, h, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS begun, s AS upto FROM (
+      SELECT doc_id, s, e, h FROM spans JOIN n USING (doc_id) UNION ALL SELECT doc_id, size, size + 1, h FROM n)) GROUP BY doc_id),
+told AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT n.doc_id, n.size AS n_bytes, coalesce(t.removed, 0)::BIGINT AS n_removed, coalesce(t.spans, 0)::BIGINT AS n_spans, sha256(unhex(k.k)) AS kept_sha256
+FROM n JOIN kept k USING (doc_id) LEFT JOIN told t USING (doc_id)
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("l_id")))
@@ -104,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": OP1_SQL,
     "op3_arc_to_warc": OP3_SQL,
     "op9_maxscore_topk": OP9_SQL,
 }
