@@ -121,7 +121,7 @@ def unzipped(data: bytes) -> bytes:
     while at < len(data):
         d = zlib.decompressobj(31)
         while not d.eof and at < len(data):  # in steps, so what is left over is never copied often
-            out.append(d.decompress(view[at : at + (1 << 16)]))
+            out.append(d.decompress(view[at : at + (1 << 14)]))
             at = min(at + (1 << 14), len(data))
         at -= len(d.unused_data)
         if not d.eof:
