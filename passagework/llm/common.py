@@ -30,13 +30,15 @@ _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, without a cluster (tests), a local one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="passagework-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -119,6 +121,17 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
         i = j
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system: workers live on after the one large task that they had."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(33))

@@ -17,6 +17,7 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,14 @@ def _byte_characters() -> dict[str, int]:
 _encoders: dict[str, object] = {}
 
 
+@cache
+def _library(path: str):
+    """The library's own tokenizer, loaded where a text needs it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def encoder(path: str):
     """texts -> lists of ids, as the tokenizers library gives them for this file with add_special_tokens=False.
 
@@ -179,9 +188,6 @@ def encoder(path: str):
     through tokenizers itself.
     """
     if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        slow = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -201,12 +207,9 @@ def encoder(path: str):
             ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in added}
             fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-            def encode(texts: list[str]) -> list[list[int]]:
-                return [slow.encode(t, add_special_tokens=False).ids if any(x in t for x in added) else fast.encode_ordinary(t) for t in texts]
-
-            _encoders[path] = encode
+            _encoders[path] = lambda texts: [_library(path).encode(t, add_special_tokens=False).ids if any(x in t for x in added) else fast.encode_ordinary(t) for t in texts]
         else:
-            _encoders[path] = lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+            _encoders[path] = lambda texts: [e.ids for e in _library(path).encode_batch(texts, add_special_tokens=False)]
     return _encoders[path]
 
 
