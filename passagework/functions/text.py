@@ -41,16 +41,20 @@ def lines(text: Column) -> Column:
 
 def is_continuation(data: Column, at: Column) -> Column:
     """Whether the byte at a place counted from 0 continues a character."""
-    return F.hex(F.substring(data, at + 1, F.lit(1))).rlike("^[89AB]")
+    return F.substring(data, at + 1, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
 
 
 def boundary_at_or_before(data: Column, at: Column) -> Column:
     """The last place up to `at` that starts a character; a character has four bytes at most."""
-    back = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.when(~is_continuation(data, at - j), at - j))
-    return F.when(at <= 0, F.lit(0)).otherwise(F.array_max(back))
+    out = F.when(at <= 0, F.lit(0))
+    for j in range(3):
+        out = out.when(~is_continuation(data, at - j), at - j)
+    return out.otherwise(at - 3)
 
 
 def boundary_at_or_after(data: Column, at: Column, size: Column) -> Column:
     """The first place from `at` on that starts a character, or the end."""
-    ahead = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.when(at + j >= size, size).when(~is_continuation(data, at + j), at + j))
-    return F.when(at >= size, size).otherwise(F.array_min(ahead))
+    out = F.when(at >= size, size)
+    for j in range(3):
+        out = out.when(~is_continuation(data, at + j), at + j)
+    return F.least(out.otherwise(at + 3), size)

@@ -32,6 +32,12 @@ class Registry:
     collections: DataFrame
     embeddings: DataFrame
     vectors: DataFrame
+    #: How the vectors came from those of `origin`: ("added", rows) and ("touched", rows with the collection_id) in order.
+    changes: tuple[tuple[str, DataFrame], ...] = ()
+    origin: DataFrame | None = None
+
+    def changed(self, kind: str, rows: DataFrame, vectors: DataFrame, **tables: DataFrame) -> Registry:
+        return replace(self, vectors=vectors, changes=(*self.changes, (kind, rows)), origin=self.vectors if self.origin is None else self.origin, **tables)
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Registry:
@@ -129,7 +135,13 @@ def insert_documents(r: Registry, new: DataFrame) -> Registry:
 def delete_documents(r: Registry, gone: DataFrame) -> Registry:
     """Without the documents whose ids are in `gone`, and without all that refers to them."""
     keep = {name: without(getattr(r, name), gone, "document_id").select(getattr(r, name).columns) for name in ("chunkers", "parsers", "embeddings", "vectors")}
-    return replace(r, documents=without(r.documents, gone, "id").select(r.documents.columns), **keep)
+    held = r.embeddings.join(gone.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("collection_id")
+    return r.changed("touched", held, documents=without(r.documents, gone, "id").select(r.documents.columns), **keep)
+
+
+def documents_at(r: Registry, path: str) -> DataFrame:
+    """Ids of the documents with this path, of whatever source."""
+    return filtered(r.documents, path=path).select("id")
 
 
 def upsert_configs(r: Registry, table: str, new: DataFrame, now: Column) -> Registry:
@@ -166,7 +178,7 @@ def insert_collection(r: Registry, row: DataFrame) -> Registry:
 
 def delete_collections(r: Registry, gone: DataFrame) -> Registry:
     keep = {name: without(getattr(r, name), gone, "collection_id").select(getattr(r, name).columns) for name in ("embeddings", "vectors")}
-    return replace(r, collections=without(r.collections, gone, "id").select(r.collections.columns), **keep)
+    return r.changed("touched", gone.select(F.col("id").alias("collection_id")), collections=without(r.collections, gone, "id").select(r.collections.columns), **keep)
 
 
 def not_embedded(r: Registry, pairs: DataFrame) -> DataFrame:
@@ -178,14 +190,15 @@ def add_embeddings(r: Registry, embeddings: DataFrame, vectors: DataFrame) -> Re
     """Memberships that aren't there yet, and the vectors that belong to them."""
     new = embeddings.join(r.embeddings.select("document_id", "collection_id"), ["document_id", "collection_id"], "left_anti").dropDuplicates(["document_id", "collection_id"])
     own = vectors.join(new.select("document_id", "collection_id"), ["document_id", "collection_id"], "left_semi")
-    return replace(r, embeddings=r.embeddings.unionByName(new.select(r.embeddings.columns)), vectors=r.vectors.unionByName(own.select(r.vectors.columns)))
+    own = own.select(r.vectors.columns)
+    return r.changed("added", own, r.vectors.unionByName(own), embeddings=r.embeddings.unionByName(new.select(r.embeddings.columns)))
 
 
 def delete_embeddings(r: Registry, pairs: DataFrame) -> Registry:
     """Without the memberships and vectors of these (document_id, collection_id)."""
     keys = pairs.select("document_id", "collection_id")
     keep = {name: getattr(r, name).join(keys, ["document_id", "collection_id"], "left_anti").select(getattr(r, name).columns) for name in ("embeddings", "vectors")}
-    return replace(r, **keep)
+    return r.changed("touched", keys.select("collection_id"), **keep)
 
 
 def missing_files(r: Registry, files: DataFrame, src: str) -> DataFrame:

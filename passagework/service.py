@@ -11,11 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import ChunkConfig, Page, ParseConfig, Semantic, Snapping, chunk_config_from_json, chunk_config_to_json, collection_name
+from .config import ChunkConfig, Page, ParseConfig, Semantic, Sliding, Snapping, chunk_config_from_json, chunk_config_to_json, collection_name
 from .errors import AlreadyExists, EmptyResult, InvalidInput, InvalidModel, NotFound
 from .operators import registry as R
 from .operators.chunking import chunk, chunk_rows
 from .operators.parsing import PageExtractor, parse, require_type
+from .operators.pdf import pdf_text
 from .operators.search import top_k
 from .sources.embedders import Embedder, embedding, size_of
 from .sources.providers import Providers
@@ -23,6 +24,8 @@ from .sources.store import FolderStore, ingest
 from .sources.tables import RegistryStore
 
 DEFAULT_COLLECTION = "Default"
+#: Bytes that an upload may have in all.
+UPLOAD_BYTES = 100_000_000
 DEFAULT_DOCUMENT = ("welcome.txt", b"Documents are stored, parsed, cut into chunks, embedded and searched.")
 
 
@@ -33,7 +36,7 @@ def _now():
 class Services:
     """Shared state: the registry, its storage, and the providers."""
 
-    def __init__(self, spark: SparkSession, stores: Providers[FolderStore], embedders: Providers[Embedder], vector_stores: list[str], registry: R.Registry | None = None, storage: RegistryStore | None = None, extract: PageExtractor | None = None):
+    def __init__(self, spark: SparkSession, stores: Providers[FolderStore], embedders: Providers[Embedder], vector_stores: list[str], registry: R.Registry | None = None, storage: RegistryStore | None = None, extract: PageExtractor | None = pdf_text):
         self.spark, self.stores, self.embedders, self.vector_stores, self.extract = spark, stores, embedders, vector_stores, extract
         self.storage = storage or RegistryStore(spark)
         self.registry = registry or R.Registry.empty(spark)
@@ -42,10 +45,15 @@ class Services:
     def publish(self, r: R.Registry) -> None:
         self.registry = self.storage.save(r)
 
+    def default_semantic(self) -> Semantic:
+        """With the first embedder and its default model."""
+        first = self.embedders.get(self.embedders.ids()[0])
+        return Semantic(model=first.default_model[0], provider=first.id)
+
     def info(self) -> dict:
         """Providers, models with their dimensions, default chunkers."""
         models = {e: self.embedders.get(e).models() for e in self.embedders.ids()}
-        return {"documentProviders": self.stores.ids(), "vectorProviders": self.vector_stores, "embeddingProviders": models, "defaultChunkers": [chunk_config_to_json(c) for c in (Snapping(),)]}
+        return {"documentProviders": self.stores.ids(), "vectorProviders": self.vector_stores, "embeddingProviders": models, "defaultChunkers": [chunk_config_to_json(c) for c in (Sliding(), Snapping(), self.default_semantic())]}
 
 
 class DocumentService:
@@ -121,7 +129,10 @@ class DocumentService:
         return self._chunks(self.content(document_id, parser), chunker)
 
     def upload(self, src: str, files: list[tuple[str, bytes]], chunker: ChunkConfig | None = None, parser: ParseConfig | None = None) -> tuple[list[str], dict[str, str]]:
-        """Ids of the new documents and errors by name; a file fails alone. New documents get configurations."""
+        """Ids of the new documents and errors by name; a file fails alone. New documents get configurations. Raises if the
+        files have more than UPLOAD_BYTES together."""
+        if sum(len(b) for _, b in files) > UPLOAD_BYTES:
+            raise InvalidInput(f"an upload has {UPLOAD_BYTES} bytes at most")
         df = self.s.spark.createDataFrame([(n, bytearray(b)) for n, b in files], "name string, content binary")
         good, bad = ingest(df)
         known = {r["hash"] for r in good.join(self.s.registry.documents.select("hash"), "hash", "left_semi").select("hash").collect()}  # of the uploaded files
@@ -149,10 +160,28 @@ class DocumentService:
                 r = R.upsert_configs(r, table, new.select(F.concat(F.lit(f"{table}-"), "id").alias("id"), F.col("id").alias("document_id"), F.lit(text).alias("config")), _now())
         self.s.publish(r)
 
-    def delete(self, document_id: str) -> None:
+    def delete(self, document_id: str) -> int:
+        """The number of documents that went."""
         row = self.get(document_id)
         self.s.publish(R.delete_documents(self.s.registry, self._ids(document_id)))
         self.s.stores.get(row["src"]).delete(row["path"])
+        return 1
+
+    def delete_by_path(self, path: str) -> int:
+        """Removes the documents with this path, of whatever source, from the registry; files stay. Returns their number."""
+        gone = R.documents_at(self.s.registry, path)
+        n = gone.count()
+        if n:
+            self.s.publish(R.delete_documents(self.s.registry, gone))
+        return n
+
+    def update(self, document_id: str, name: str, label: str | None = None, tags: list[str] | None = None) -> int:
+        """Sets the name, label and tags; returns the number of documents that were changed, 0 if there is none."""
+        if R.filtered(self.s.registry.documents, id=document_id).isEmpty():
+            return 0
+        row = self.s.spark.createDataFrame([(document_id, name, label, tags)], "id string, name string, label string, tags array<string>")
+        self.s.publish(R.update_documents(self.s.registry, row, _now()))
+        return 1
 
     def _ids(self, *ids: str) -> DataFrame:
         return self.s.spark.createDataFrame([(i,) for i in ids], "id string")
@@ -234,10 +263,12 @@ class VectorService:
                     continue
         return out
 
-    def delete_collection(self, collection_id: str) -> None:
+    def delete_collection(self, collection_id: str) -> int:
+        """The number of collections that went."""
         self.get_collection(collection_id)
         gone = self.s.spark.createDataFrame([(collection_id,)], "id string")
         self.s.publish(R.delete_collections(self.s.registry, gone))
+        return 1
 
     def create_embeddings(self, document_id: str, collection_id: str, chunks: list[str]) -> str:
         """Embeds the chunks and stores them with the membership, at once."""

@@ -7,10 +7,11 @@ import json
 import os
 import urllib.request
 from collections.abc import Iterator
+from functools import cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from ..errors import InvalidInput, InvalidModel
 
 #: Texts of a request, seconds until it fails.
 BATCH, TIMEOUT = 256, 5.0
+#: Tokens of a text that a local model reads; these models take no more.
+MOST_TOKENS = 512
 
 # Models of the remote providers and their dimensions.
 OPENAI_MODELS = {"text-embedding-3-large": 3072, "text-embedding-3-small": 1536, "text-embedding-ada-002": 1536}
@@ -108,14 +111,64 @@ class OpenAiEmbedder(_Remote):
         return np.array(rows, float)
 
 
+class LocalEmbedder:
+    """ONNX models in folders <base>/<name> with model.onnx and tokenizer.json, run where the texts are. A worker loads a
+    model once. A text's embedding is that of its first token (bge) or the mean of its tokens', scaled to length 1."""
+
+    id = "local"
+    default_model = ("Xenova/bge-base-en-v1.5", 768)
+
+    def __init__(self, base: str):
+        self.base = base
+
+    def models(self) -> dict[str, int]:
+        return dict(LOCAL_MODELS)
+
+    def embed(self, texts: list[str], model: str) -> np.ndarray:
+        size = size_of(self, model)
+        if not texts:
+            return np.zeros((0, size))
+        session, tokenizer = _loaded(f"{self.base}/{model}")
+        out = []
+        for i in range(0, len(texts), BATCH):
+            encoded = tokenizer.encode_batch(texts[i : i + BATCH])
+            longest = max(1, max(len(e.ids) for e in encoded))
+            pad = lambda row: row + [0] * (longest - len(row))  # noqa: E731, B023
+            fed = {n: np.array([pad(list(x)) for x in rows], np.int64) for n, rows in (("input_ids", [e.ids for e in encoded]), ("attention_mask", [e.attention_mask for e in encoded]), ("token_type_ids", [e.type_ids for e in encoded]))}
+            asked = {x.name for x in session.get_inputs()}
+            hidden = session.run(None, {n: v for n, v in fed.items() if n in asked})[0].astype(np.float64)
+            mask = fed["attention_mask"][:, :, None]
+            out.append(hidden[:, 0] if "bge" in model else (hidden * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1))
+        rows = np.concatenate(out)
+        if rows.shape[1] != size:
+            raise InvalidModel(f"{model} gives {rows.shape[1]} numbers, not {size}")
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, length, out=rows, where=length > 0)
+
+
+@cache
+def _loaded(folder: str):
+    if not os.path.exists(f"{folder}/model.onnx"):
+        raise InvalidModel(f"no model in {folder}")
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(f"{folder}/tokenizer.json")
+    tokenizer.no_padding()
+    tokenizer.enable_truncation(MOST_TOKENS)
+    return onnxruntime.InferenceSession(f"{folder}/model.onnx", providers=["CPUExecutionProvider"]), tokenizer
+
+
 def embedding(text: Column, e: Embedder, model: str | None = None) -> Column:
     """The embedding of each text as array<double>; a batch is one call of the embedder."""
     name = model or e.default_model[0]
+    size = size_of(e, name)
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = e.embed([t or "" for t in texts], name) if len(texts) else []
-            yield pd.Series([list(map(float, r)) for r in rows], index=texts.index)
+            rows = np.asarray(e.embed([t or "" for t in texts.to_pylist()], name), np.float64) if len(texts) else np.zeros((0, size))
+            edges = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+            yield pa.ListArray.from_arrays(pa.array(edges), pa.array(rows.ravel()))
 
     return run(text)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, NotFound
-from ..functions.text import content_hash, file_type
+from ..functions.text import content_hash, file_type, unicode_trim
+
+#: Paths up to which a read opens just these files; more of them are found by scanning the folder.
+FEW_PATHS = 10_000
 
 
 class FolderStore:
@@ -20,8 +25,10 @@ class FolderStore:
         path = jvm.org.apache.hadoop.fs.Path(self.base)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _files(self) -> DataFrame:
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(self.base)
+    def _files(self, paths: list[str] | None = None) -> DataFrame:
+        # a path is taken for a pattern, so what would mean something in one is escaped
+        where = self.base if paths is None else [re.sub(r"([\[\]{}*?\\])", r"\\\1", x) for x in paths]
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(where)
         name = F.substring_index("path", "/", -1)
         return files.withColumn("name", name).withColumn("ext", file_type(name)).where("ext is not null")
 
@@ -30,10 +37,18 @@ class FolderStore:
         return self._files().select("name", "ext", "path", "length")
 
     def read(self, paths: DataFrame | None = None) -> DataFrame:
-        """name, ext, path, hash, content; of these paths if there are any given."""
-        files = self._files()
-        if paths is not None:
-            files = files.join(paths.select("path"), "path", "left_semi")
+        """name, ext, path, hash, content; of these paths, which must be there, if there are any given. Only their files
+        are opened; of more than FEW_PATHS the whole folder is scanned."""
+        if paths is None:
+            files = self._files()
+        else:
+            wanted = [r["path"] for r in paths.select("path").distinct().limit(FEW_PATHS + 1).collect()]
+            if not wanted:
+                files = self._files().limit(0)
+            elif len(wanted) <= FEW_PATHS:
+                files = self._files(wanted)
+            else:
+                files = self._files().join(paths.select("path"), "path", "left_semi")
         return files.select("name", "ext", "path", content_hash(F.col("content")).alias("hash"), "content")
 
     def write(self, name: str, content: bytes) -> str:
@@ -57,7 +72,7 @@ class FolderStore:
 
 def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of uploaded files (name, content): good ones with ext and hash, and (name, error) of the others."""
-    checked = files.withColumn("name", F.trim("name")).withColumn("ext", file_type(F.trim("name"))).withColumn("hash", content_hash(F.col("content")))
+    checked = files.withColumn("name", unicode_trim(F.col("name"))).withColumn("ext", file_type(F.col("name"))).withColumn("hash", content_hash(F.col("content")))
     error = F.when(F.col("ext").isNull(), "unsupported file type").when(F.col("content").isNull(), "no content")
     checked = checked.withColumn("error", error)
     return checked.where("error is null").drop("error"), checked.where("error is not null").select("name", "error")

@@ -1,61 +1,125 @@
-"""Registries on storage: a change is staged under a new version and published by moving one pointer file.
+"""Registries on storage: a change writes what it changed under a new version and publishes it with a new manifest.
 
-Vectors are partitioned by collection, so a search or a removal reads one collection's files.
+A manifest is a small JSON file with a number; the highest number counts. It names each table's folder, and for vectors the
+folders of its parts, with the collections of each that no longer count. So a table that did not change is not written
+again, added vectors are one more part, and a removal writes anew only the collections that it touches. Vectors are
+partitioned by collection, so a search or a removal reads one collection's files.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..errors import NotFound
+from ..errors import AlreadyExists, NotFound
 from ..operators.registry import SCHEMAS, Registry
 
+#: Parts of the vectors from which on they are written anew as one.
+MOST_PARTS = 64
+
 
 def new_base(spark: SparkSession) -> str:
-    """A folder for a registry in the one that spark.checkpoint.dir names, or in a local one where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="passagework-")
-    return f"{shared.rstrip('/')}/registry-{uuid.uuid4().hex}"
+    """A folder for a registry in the one that spark.checkpoint.dir names; without a cluster a local one will do."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise NotFound("spark.checkpoint.dir must name a shared folder")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='passagework-')).rstrip('/')}/registry-{uuid.uuid4().hex}"
 
 
 class RegistryStore:
     def __init__(self, spark: SparkSession, base: str | None = None):
         self.spark, self.base = spark, (base or new_base(spark)).rstrip("/")
+        self.loaded: tuple[int, Registry] | None = None
 
     def _fs(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path
         return path(self.base).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def version(self) -> str | None:
+    def version(self) -> int | None:
+        """The number of the present manifest."""
         fs, path = self._fs()
-        at = path(f"{self.base}/CURRENT")
-        if not fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.base}/CURRENT").first()["value"]
+        found = fs.globStatus(path(f"{self.base}/manifest-*.json")) or []
+        return max((int(m[1]) for x in found if (m := re.search(r"manifest-(\d+)\.json$", x.getPath().toString()))), default=None)
+
+    def manifest(self, number: int) -> dict:
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.base}/manifest-{number:012d}.json").first()["value"])
+
+    def _vectors(self, parts: list[dict]) -> DataFrame:
+        out = None
+        for part in parts:
+            some = self.spark.read.schema(SCHEMAS["vectors"]).parquet(f"{self.base}/{part['path']}")
+            if part["without"]:
+                some = some.where(~F.col("collection_id").isin(part["without"]))
+            out = some if out is None else out.unionByName(some)
+        return out
 
     def load(self) -> Registry:
-        now = self.version()
-        if now is None:
+        number = self.version()
+        if number is None:
             raise NotFound(self.base)
-        return Registry(**{name: self.spark.read.schema(schema).parquet(f"{self.base}/{now}/{name}") for name, schema in SCHEMAS.items()})
+        if self.loaded is None or self.loaded[0] != number:
+            m = self.manifest(number)
+            tables = {name: self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{path}") for name, path in m["tables"].items()}
+            self.loaded = number, Registry(**tables, vectors=self._vectors(m["vectors"]))
+        return self.loaded[1]
+
+    def _write_vectors(self, rows: DataFrame, path: str) -> dict:
+        rows.write.partitionBy("collection_id").parquet(f"{self.base}/{path}")
+        return {"path": path, "without": []}
 
     def save(self, r: Registry) -> Registry:
-        """All tables under a new version, then the pointer; readers see the old version or the new one. What a table is
-        computed from is never overwritten."""
-        new = f"v-{uuid.uuid4().hex}"
+        """What r changed, under a new version, then the manifest; readers see the old version or the new one. What a table
+        is computed from is never overwritten. Raises if another writer was first."""
+        number, new = self.version(), f"v-{uuid.uuid4().hex}"
+        known = self.loaded is not None and self.loaded[0] == number
+        old, before = (self.manifest(number), self.loaded[1]) if known else (None, None)
+        tables, parts = {}, None
         for name in SCHEMAS:
-            writer = getattr(r, name).write
-            (writer.partitionBy("collection_id") if name == "vectors" else writer).parquet(f"{self.base}/{new}/{name}")
+            if name == "vectors":
+                continue
+            if before is not None and getattr(r, name) is getattr(before, name):
+                tables[name] = old["tables"][name]
+            else:
+                tables[name] = f"{new}/{name}"
+                getattr(r, name).write.parquet(f"{self.base}/{tables[name]}")
+        if before is not None and r.vectors is before.vectors:
+            parts = old["vectors"]
+        elif before is not None and r.origin is before.vectors and len(old["vectors"]) < MOST_PARTS:
+            parts = self._changed(r, old["vectors"], new)
+        else:
+            parts = [self._write_vectors(r.vectors, f"{new}/vectors")]
+        self._publish((number or 0) + 1, {"tables": tables, "vectors": parts})
+        return self.load()
+
+    def _changed(self, r: Registry, parts: list[dict], new: str) -> list[dict]:
+        """The parts after r's changes: those of touched collections don't count any more, and come as a part of their own."""
+        touched = set()
+        for kind, rows in r.changes:
+            if kind == "touched":
+                touched |= {x["collection_id"] for x in rows.select("collection_id").distinct().collect()}  # collections that a call names, or holds its documents
+        ids = sorted(x for x in touched if x is not None)
+        out = [{"path": p["path"], "without": sorted({*p["without"], *ids})} for p in parts]
+        if ids:
+            out.append(self._write_vectors(r.vectors.where(F.col("collection_id").isin(ids)), f"{new}/vectors-touched"))
+        added = [rows for kind, rows in r.changes if kind == "added"]
+        for k, rows in enumerate(added):
+            out.append(self._write_vectors(rows.where(~F.col("collection_id").isin(ids)) if ids else rows, f"{new}/vectors-{k}"))
+        return out
+
+    def _publish(self, number: int, manifest: dict) -> None:
         fs, path = self._fs()
-        staged = path(f"{self.base}/.CURRENT-{new}")
+        staged, at = path(f"{self.base}/.staged-{uuid.uuid4().hex}"), path(f"{self.base}/manifest-{number:012d}.json")
         out = fs.create(staged, True)
         try:
-            out.write(bytearray(new.encode()))
+            out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
-        fs.delete(path(f"{self.base}/CURRENT"), False)
-        fs.rename(staged, path(f"{self.base}/CURRENT"))
-        return self.load()
+        if fs.exists(at) or not fs.rename(staged, at):
+            fs.delete(staged, False)
+            raise AlreadyExists(f"version {number} of {self.base}")

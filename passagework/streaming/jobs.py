@@ -32,8 +32,9 @@ class Outcome:
     reports: DataFrame
 
 
-def run_jobs(r: R.Registry, jobs: DataFrame, texts: DataFrame, chunkers: list[ChunkConfig], embedder: Embedder, embed: Callable | None = None) -> Outcome:
-    """The registry after these jobs, and their reports. texts: document_id, text, kind (a number of `chunkers`)."""
+def run_jobs(r: R.Registry, jobs: DataFrame, texts: DataFrame, chunkers: list[ChunkConfig], embedder: Embedder, embed: Callable | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> Outcome:
+    """The registry after these jobs, and their reports. texts: document_id, text, kind (a number of `chunkers`). `keep`
+    writes and rereads the embedded chunks, from which both are made, so that nothing is embedded twice."""
     started = F.current_timestamp()
     jobs = jobs.where((F.size(F.coalesce("add", F.array())) > 0) | (F.size(F.coalesce("remove", F.array())) > 0))
     named = jobs.join(r.collections.select(F.col("id").alias("collection_id"), F.col("model").alias("model_used"), F.col("provider").alias("vector_db")), "collection_id", "left")
@@ -48,6 +49,8 @@ def run_jobs(r: R.Registry, jobs: DataFrame, texts: DataFrame, chunkers: list[Ch
     asked = asked.withColumn("error", error)
     todo = asked.where("error is null")
     chunks = chunk_by_config(todo.select("document_id").distinct().join(texts, "document_id", "left").select("document_id", "text", "kind"), chunkers, "kind", "text", embed)
+    chunks = chunks.withColumn("embedding", F.when(F.col("chunk_idx").isNotNull(), embedding(F.coalesce("chunk", F.lit("")), embedder)))
+    chunks = keep(chunks) if keep else chunks
     failed = chunks.where("chunk_idx is null").select("document_id", F.col("error").alias("chunk_error")).distinct()
     counts = chunks.where("chunk_idx is not null").groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("total_chunks"))
     done = todo.join(failed, "document_id", "left").join(counts, "document_id", "left").withColumn("error", F.col("chunk_error"))
@@ -55,7 +58,7 @@ def run_jobs(r: R.Registry, jobs: DataFrame, texts: DataFrame, chunkers: list[Ch
     key = F.sha2(F.concat_ws("|", "collection_id", "document_id"), 256)
     members = good.select(key.alias("id"), "document_id", "collection_id", started.alias("created_at"), started.alias("updated_at"))
     placed = good.select("document_id", "collection_id").join(chunks.where("chunk_idx is not null"), "document_id")
-    vectors = placed.select(F.concat_ws("-", key, "chunk_idx").alias("vec_id"), "collection_id", "document_id", "chunk_idx", F.col("chunk").alias("content"), embedding(F.col("chunk"), embedder).alias("embedding"))
+    vectors = placed.select(F.concat_ws("-", key, "chunk_idx").alias("vec_id"), "collection_id", "document_id", "chunk_idx", F.col("chunk").alias("content"), "embedding")
     removed = live.select("job_id", "collection_id", "model_used", "vector_db", F.explode("remove").alias("document_id"))
     after = R.delete_embeddings(R.add_embeddings(r, members, vectors), removed)
     parts = [
@@ -78,9 +81,17 @@ def start(spark: SparkSession, jobs_dir: str, checkpoint: str, load: Callable[[]
     stream = spark.readStream.schema(JOB).option("maxFilesPerTrigger", FILES_PER_BATCH).json(jobs_dir)
 
     def batch(jobs: DataFrame, number: int) -> None:
-        out = run_jobs(load(), jobs, texts, chunkers, embedder, embed)
+        place = f"{reports_dir}/_chunks-{number}"
+
+        def keep(chunks: DataFrame) -> DataFrame:
+            chunks.write.mode("overwrite").parquet(place)
+            return spark.read.schema(chunks.schema).parquet(place)
+
+        out = run_jobs(load(), jobs, texts, chunkers, embedder, embed, keep)
         out.reports.write.mode("overwrite").parquet(f"{reports_dir}/batch={number}")
         publish(out.registry)
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
