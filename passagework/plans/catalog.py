@@ -21,7 +21,7 @@ from ..service import embed_documents
 from ..sources.embedders import HashingEmbedder, embedding
 from ..sources.store import ingest
 from ..streaming.jobs import run_jobs
-from . import sentences_sql
+from . import sentences_sql, services
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -448,3 +448,8 @@ def embed_search_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("embed_documents", f"WITH {sentences_sql.embedding_sql('documents', 'doc_id', 'text')} SELECT doc_id, embedding FROM embedded")
 def embed_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", embedding(F.col("text"), HashingEmbedder()).alias("embedding"))
+
+
+# --- services and files ---
+
+services.register(query)
