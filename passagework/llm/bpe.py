@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Widths of the matrices; longer pieces are merged through a heap.
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256)
 #: Distinct pieces that a Python worker keeps; then it starts anew.
@@ -242,7 +244,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text:
                 flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {df.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -261,5 +263,5 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
                 got = [vocab.decode(x.values.to_numpy(zero_copy_only=False)).tobytes() if x.is_valid else b"" for x in column]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], [*part.schema.names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 

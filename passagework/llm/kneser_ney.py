@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces
+from .common import lean, materialize, pieces
 
 ORDER = 5
 #: Text bytes of a block, about.
@@ -167,7 +167,7 @@ def perplexities(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     block = F.pmod(F.xxhash64("doc_id"), F.lit(max(16, -(-size // BLOCK_BYTES)))).cast("int").alias("block")
     trusted = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast(kind).alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     first = docs.select(block, F.lit(1).alias("kind"), "doc_id", "text").unionByName(trusted.where(~left_out(F.col("doc_id"))).select(block, F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("string").alias("text")))
-    needed = materialize(first.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_block_grams, "block int, gram long, n long"), "grams")
+    needed = materialize(first.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(lean(_block_grams), "block int, gram long, n long"), "grams")
     counts = materialize(needed.groupBy("gram").agg(F.sum("n").alias("c")), "counts")
     p = probabilities(counts)
     back = needed.select("block", "gram").join(p, "gram")
@@ -175,7 +175,7 @@ def perplexities(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     tables = back.select("block", F.lit(0).alias("kind"), *empty, "gram", "p", F.lit(None).cast("long").alias("key"))
     texts = docs.select(block, F.lit(1).alias("kind"), "doc_id", "text", "lang", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("p"), "key")
     summed = texts.unionByName(tables).repartition("block").sortWithinPartitions("block", "kind")
-    scored = materialize(summed.mapInArrow(_sum_up, f"doc_id {kind}, key long, lang string, n_bytes long, perplexity double"), "perplexities")
+    scored = materialize(summed.mapInArrow(lean(_sum_up), f"doc_id {kind}, key long, lang string, n_bytes long, perplexity double"), "perplexities")
     sure = trusted.select(F.col("doc_id").alias("t_id"))
     return scored.join(sure, F.col("doc_id") == F.col("t_id"), "left").withColumn("trusted", F.col("t_id").isNotNull()).withColumn("left_out", F.col("trusted") & left_out(F.col("doc_id"))).drop("t_id")
 

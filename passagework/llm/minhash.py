@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, mix, prefix_sums, span_hash, text_or_empty, words
+from .common import LOWER, buffers, lean, mix, prefix_sums, span_hash, text_or_empty, words
 
 BINS, LOW_BITS, SHINGLE = 512, 4, 5
 #: Attempts of densification before a bin takes the first value of its row (under 1e-7 of bins, of texts with two shingles).
@@ -248,7 +248,7 @@ def fingerprints_with_edits(df: DataFrame, id_col: str = "doc_id", text: str = "
             raise RuntimeError(f"the last row of range {held[0]} has no next")
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,4 +262,4 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(*sketch(raw, at)))], ["doc_id", "fingerprint"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, fingerprint string")

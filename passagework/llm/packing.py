@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import lean, materialize
 
 #: Rows (part, length) of the table of first ranks up to which it is broadcast: 64 MB at 16 bytes each.
 BROADCAST_ROWS = 1 << 22
@@ -250,7 +250,7 @@ def tokenized_pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int,
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def first_ranks(counts: DataFrame) -> DataFrame:
@@ -283,4 +283,4 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, i
             yield pa.RecordBatch.from_arrays([*b.columns[:at_rank], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*columns, "sequence_id", "offset"])
 
     kept = [f for f in pieces_df.schema.fields if f.name in columns]
-    return ranked.mapInArrow(place, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return ranked.mapInArrow(lean(place), T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, prefix_sums, span_hash, text_or_empty, words
+from .common import LOWER, lean, materialize, prefix_sums, span_hash, text_or_empty, words
 from .components import components
 from .minhash import shingle_hashes
 
@@ -106,7 +106,7 @@ def fingerprints(df: DataFrame, size: int = 3, id_col: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(raw, at, size).view(np.int64))], ["doc_id", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, fp long")
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -121,7 +121,7 @@ def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
                 both += bits.T @ bits
         yield pa.RecordBatch.from_arrays([pa.array([both.ravel().tolist()], pa.list_(pa.float64()))], ["both"])
 
-    parts = distinct.select("fp").mapInArrow(run, "both array<double>")
+    parts = distinct.select("fp").mapInArrow(lean(run), "both array<double>")
     total = distinct.count()
     summed = parts.select(F.posexplode("both").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()  # BITS * BITS rows
     both = np.zeros(BITS * BITS)
@@ -285,14 +285,14 @@ def links(distinct: DataFrame, tau: int) -> DataFrame:
     if sum(comb(BITS, r) for r in range(radius + 1)) > 100:
         # too many neighbours for the linear way: a large bucket is searched from its linked members outwards
         dealt = rows.repartition("part", "key").sortWithinPartitions("part", "key")
-        return dealt.mapInArrow(lambda b: _verified(b, tau), "a long, b long")
+        return dealt.mapInArrow(lean(lambda b: _verified(b, tau)), "a long, b long")
     sizes = rows.groupBy("part", "key").count().where("count > 1").select(F.col("part").alias("p"), F.col("key").alias("k"), (F.col("count") > HOT).alias("hot"))
     met = materialize(rows.join(sizes, (F.col("part") == F.col("p")) & (F.col("key") == F.col("k"))).select("part", "key", "fp", "hot"), "buckets")
     cold = met.where("not hot").select("part", "key", "fp").repartition("part", "key").sortWithinPartitions("part", "key")
-    out = cold.mapInArrow(lambda b: _verified(b, tau), "a long, b long")
+    out = cold.mapInArrow(lean(lambda b: _verified(b, tau)), "a long, b long")
     near = F.explode(F.transform(F.array(*[F.lit(x) for x in _flips(list(range(BITS)), 0, radius)]), lambda x: F.col("fp").bitwiseXOR(x))).alias("key")
     around = met.where("hot").select("fp").distinct().select(near, "fp").repartition("key").sortWithinPartitions("key")
-    return out.unionByName(around.mapInArrow(lambda b: _verified(b, tau), "a long, b long"))
+    return out.unionByName(around.mapInArrow(lean(lambda b: _verified(b, tau)), "a long, b long"))
 
 
 def near_duplicates(df: DataFrame, tau: int = 2, size: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -405,9 +405,9 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(raw, at)[0].view(np.int64))], ["h"])
 
     share = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod("key", F.lit(share)) == 0).select("text").mapInArrow(run, "h long")
-    often = sample.groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toPandas()  # of a sample of fixed size
-    return np.sort(often["h"].to_numpy(np.int64).view(np.uint64))
+    sample = docs.where(F.pmod("key", F.lit(share)) == 0).select("text").mapInArrow(lean(run), "h long")
+    often = sample.groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toArrow()  # of a sample of fixed size
+    return np.sort(often["h"].to_numpy().view(np.uint64))
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -477,8 +477,8 @@ def links_by_shingles(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of the fp of texts (key, fp, n, bits, more): chains of them connect all texts at 0.8 or more. docs: key,
     text."""
     last = _frequent(docs)
-    prefixes = docs.select("key", "text").mapInArrow(lambda b: _prefixes(b, last), "shingle long, key long")
-    met = prefixes.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_met_again, "shingle long, key long")
+    prefixes = docs.select("key", "text").mapInArrow(lean(lambda b: _prefixes(b, last)), "shingle long, key long")
+    met = prefixes.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(lean(_met_again), "shingle long, key long")
     met = materialize(met, "shingles")
     who = [F.count(F.lit(1)).alias("meet"), F.bit_xor(F.xxhash64("key")).alias("who"), F.min("key").alias("least"), F.max("key").alias("most")]
     one = met.groupBy("shingle").agg(*who).groupBy("meet", "who", "least", "most").agg(F.min("shingle").alias("only")).select("only", "meet")
@@ -486,7 +486,7 @@ def links_by_shingles(docs: DataFrame, texts: DataFrame) -> DataFrame:
     classes = F.explode(F.when(F.col("meet") > HOT, F.array(size_class, size_class + 1)).otherwise(F.array(F.lit(-1)))).alias("class")
     rows = met.join(one, F.col("shingle") == F.col("only")).join(texts.select("key", "fp", "n", "bits", "more"), "key").select("shingle", classes, "fp", "n", "bits", "more")
     dealt = rows.repartition("shingle", "class").sortWithinPartitions("shingle", "class")
-    return materialize(dealt.mapInArrow(_joined_by_shingles, "a long, b long").distinct(), "links")
+    return materialize(dealt.mapInArrow(lean(_joined_by_shingles), "a long, b long").distinct(), "links")
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -599,7 +599,7 @@ def _verified_links(sets: DataFrame) -> DataFrame:
     own = sets.where("key <> pivot").select("root", salt.alias("salt"), F.lit(1).alias("side"), "key", "pivot", "shingles")
     first = sets.where("key = pivot").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), F.lit(0).alias("side"), "key", "pivot", "shingles")
     dealt = own.unionByName(first).repartition("root", "salt").sortWithinPartitions("root", "salt", "side").drop("side")
-    told = materialize(dealt.mapInArrow(_against_pivot, "root long, key long, pivot long, alike boolean"), "told")
+    told = materialize(dealt.mapInArrow(lean(_against_pivot), "root long, key long, pivot long, alike boolean"), "told")
     out = told.where("alike").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     rest = told.where("not alike").select(F.col("root").alias("r_root"), F.col("key").alias("r_key"))
     if rest.isEmpty():
@@ -614,14 +614,14 @@ def _verified_links(sets: DataFrame) -> DataFrame:
     one = one.select("root", F.pmod(F.xxhash64("key"), "parts").alias("i"), below("blocks").alias("j"), F.lit(0).alias("side"), *columns)
     other = family.withColumn("alike", F.col("loose").isNull()).select("root", below("parts").alias("i"), salt.alias("j"), F.lit(1).alias("side"), *columns)
     dealt = one.unionByName(other).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return out.unionByName(dealt.mapInArrow(_rest_in_blocks, "a long, b long"))
+    return out.unionByName(dealt.mapInArrow(lean(_rest_in_blocks), "a long, b long"))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key (xxhash64 of the text), keeper: the least id (none: null) and its key of each row's group."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("key"), text_or_empty(text).alias("text"))
-    rows = materialize(docs.mapInArrow(_marks, f"doc_id {kind}, key long, fp long, n long, bits binary, more binary"), "marks")
+    rows = materialize(docs.mapInArrow(lean(_marks), f"doc_id {kind}, key long, fp long, n long, bits binary, more binary"), "marks")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")).alias("first")
     texts = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bits", "more")], first), "texts")
     family = components(links(texts.select("fp").distinct(), WORD_TAU).unionByName(links_by_shingles(docs, texts)))
@@ -629,7 +629,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     sizes = rooted.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum(F.col("n") + 1) / BLOCK).alias("blocks"), F.min("m_key").alias("pivot")).where("members > 1")
     members = materialize(rooted.join(sizes, F.col("root") == F.col("r")).select("root", "pivot", "blocks", "m_key", "m_id", "bits", "more"), "members")
     own = docs.join(members, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).dropDuplicates(["key"]).select("root", "pivot", "blocks", "key", "bits", "more", "text")
-    sets = materialize(own.mapInArrow(_sets, "root long, pivot long, blocks long, key long, bits binary, more binary, n long, shingles binary"), "sets")
+    sets = materialize(own.mapInArrow(lean(_sets), "root long, pivot long, blocks long, key long, bits binary, more binary, n long, shingles binary"), "sets")
     found = components(_verified_links(sets))
     named = texts.select("key", "first").join(found, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("g"))
     keepers = named.groupBy(F.col("g").alias("h")).agg(F.min("first").alias("keeper"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Q, repeated_starts
-from .common import materialize, mix, pieces, powers, prefix_sums, span_hash, text_or_empty
+from .common import lean, materialize, mix, pieces, powers, prefix_sums, span_hash, text_or_empty
 
 LENGTH, GRAM = 200, 50
 #: Different stretches of an anchor that one merge takes, and symbols of a merge.
@@ -210,7 +210,7 @@ def _hot(rows: DataFrame) -> DataFrame:
 def _merged(summed: DataFrame, length: int) -> DataFrame:
     """(f_anchor, f_own, runs) of the stretches that have any."""
     rows = summed.select("anchor", "own", "stretch", "weight").repartition("anchor").sortWithinPartitions("anchor", "own")
-    found = materialize(rows.mapInArrow(lambda b: _merge_groups(b, length), "anchor long, own long, starts array<int>, ends array<int>"), "runs")
+    found = materialize(rows.mapInArrow(lean(lambda b: _merge_groups(b, length)), "anchor long, own long, starts array<int>, ends array<int>"), "runs")
     return found.select(F.col("anchor").alias("f_anchor"), F.col("own").alias("f_own"), F.arrays_zip("starts", "ends").alias("runs"))
 
 
@@ -221,12 +221,12 @@ def find_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
         raise ValueError(f"length must be a multiple of {Q} and at least {2 * GRAM}")
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("key"), text_or_empty(text).alias("text")).where(F.octet_length("text") >= length)
-    anchors = docs.mapInArrow(lambda b: _anchors(b, length), f"doc_id {kind}, key long, anchor long")
+    anchors = docs.mapInArrow(lean(lambda b: _anchors(b, length)), f"doc_id {kind}, key long, anchor long")
     often = materialize(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     wanted = anchors.join(often, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors"))  # as many as a text has
     wanted = materialize(wanted.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key"), "anchors"), "wanted")
     met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).select("doc_id", "key", "text", "anchors")
-    cut = materialize(met.mapInArrow(lambda b: _cut_out(b, length), f"doc_id {kind}, key long, first long, anchor long, own long, rel int, stretch binary"), "stretches")
+    cut = materialize(met.mapInArrow(lean(lambda b: _cut_out(b, length)), f"doc_id {kind}, key long, first long, anchor long, own long, rel int, stretch binary"), "stretches")
     places = cut.select("doc_id", "key", "first", "anchor", "own")
     of_group = [F.first(c).alias(c) for c in ("rel", "near", "far", "stretch")]
     rows = cut.withColumn("near", F.lit(0)).withColumn("far", F.lit(length - GRAM)).withColumn("weight", F.lit(1).cast("long"))
@@ -242,7 +242,7 @@ def find_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
             break
         parts = rows.join(hot, F.col("anchor") == F.col("h_anchor"), "left_semi").groupBy("anchor", "own").agg(F.sum("weight").alias("weight"), *of_group)
         names = ["anchor", "own", "weight", "rel", "near", "far", "stretch"]
-        rows = materialize(parts.select(names).mapInArrow(lambda b: _halved(b, length), "old_anchor long, old_own long, weight long, shift long, anchor long, own long, rel int, near int, far int, stretch binary"), "halves")
+        rows = materialize(parts.select(names).mapInArrow(lean(lambda b: _halved(b, length)), "old_anchor long, old_own long, weight long, shift long, anchor long, own long, rel int, near int, far int, stretch binary"), "halves")
         moves = rows.select("old_anchor", "old_own", "shift", F.col("anchor").alias("n_anchor"), F.col("own").alias("n_own"))
         moved = places.join(moves, (F.col("anchor") == F.col("old_anchor")) & (F.col("own") == F.col("old_own")))
         places = materialize(moved.select("doc_id", "key", (F.col("first") + F.col("shift")).alias("first"), F.col("n_anchor").alias("anchor"), F.col("n_own").alias("own")), "places")
@@ -313,5 +313,5 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(kept, pa.binary()), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, kind)], [f.name for f in fields])
 
-    return joined.mapInArrow(run, T.StructType(fields))
+    return joined.mapInArrow(lean(run), T.StructType(fields))
 

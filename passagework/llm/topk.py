@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Queries of a block, candidates of a shard, and candidates that give the first threshold.
 QUERY_BLOCK, SHARD, SEEDS = 1024, 8192, 256
 EXACT = float(2**53)
@@ -130,6 +132,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["query_id", "query_key", "vec_id", "score"])
 
-    found = met.mapInArrow(run, "query_id long, query_key long, vec_id long, score long")
+    found = met.mapInArrow(lean(run), "query_id long, query_key long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

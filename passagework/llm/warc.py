@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import lean, new_path
 
 #: Fixed values of the format: the field names of the header lines by version.
 ARC_FIELDS = {
@@ -110,7 +110,7 @@ def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), i
             yield archive()
 
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url).alias("u"), F.col(html).alias("h"))
-    write_archives(rows.mapInArrow(encode, "value binary"), path)
+    write_archives(rows.mapInArrow(lean(encode), "value binary"), path)
 
 
 def unzipped(data: bytes) -> bytes:
@@ -197,7 +197,7 @@ def read_arc(spark, path: str) -> DataFrame:
             for name, content in zip(b.column(0), b.column(1), strict=True):
                 yield from in_batches(parse_arc(unzipped(content.as_py()), name.as_py().rpartition("/")[2]), schema)
 
-    return files(spark, path).mapInArrow(parse, ARC_ROW)
+    return files(spark, path).mapInArrow(lean(parse), ARC_ROW)
 
 
 def in_batches(rows: Iterator[dict], schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -289,7 +289,7 @@ def convert(spark, arc: str, warc: str) -> None:
                     out.append(member(made + WARC_END.encode()))
                 yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["value"])
 
-    write_archives(wanted.mapInArrow(encode, "value binary"), warc)
+    write_archives(wanted.mapInArrow(lean(encode), "value binary"), warc)
 
 
 def parse_warc(data: bytes, archive: str = "") -> Iterator[dict]:
@@ -328,7 +328,7 @@ def read_warc(spark, path: str) -> DataFrame:
             for name, content in zip(b.column(0), b.column(1), strict=True):
                 yield from in_batches(parse_warc(unzipped(content.as_py()), name.as_py().rpartition("/")[2]), schema)
 
-    return files(spark, path).mapInArrow(parse, WARC_ROW)
+    return files(spark, path).mapInArrow(lean(parse), WARC_ROW)
 
 
 def pages_through_archives(pages: DataFrame) -> DataFrame:
