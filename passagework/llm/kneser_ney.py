@@ -34,7 +34,7 @@ BLOCK_BYTES = 64 << 20
 #: Share of a language's left-out trusted documents under its threshold, and the documents a quantile needs.
 QUANTILE, LEAST = 0.99, 50
 #: One of so many trusted documents is left out of the counts.
-LEFT_OUT = 10
+LEFT_OUT = 5
 
 
 def grams(raw: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
