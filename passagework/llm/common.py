@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 RANK_BUCKETS = 4096
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a batch that goes to a Python worker, at most: with whole texts and sets in them the default would be tens of MB,
+#: once in the worker and once in the JVM.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2048
 
 #: What separates words: space and the ASCII controls 9 to 13.
 IS_SPACE = np.zeros(256, bool)
@@ -59,12 +62,15 @@ def materialize(df: DataFrame, name: str, seen: Observation | None = None, *what
     schema = df.schema
     df = df if seen is None else df.observe(seen, *what)
     path = new_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
+    before = {name: spark.conf.get(name, None) for name in (CLEANUP, BATCH)}
     spark.conf.set(CLEANUP, "true")
+    rows = int(before[BATCH] or 0)
+    spark.conf.set(BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(schema).parquet(path)
 
 

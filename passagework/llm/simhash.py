@@ -361,12 +361,16 @@ def _may_be_alike(n: np.ndarray, bits: np.ndarray, other_n: np.ndarray, other_bi
     return (5 * np.minimum(n, other_n) >= 4 * np.maximum(n, other_n)) & (9 * differ <= n + other_n)
 
 
+def _words_of(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), PARITIES // 64)
+
+
 class Marks:
     """Sizes and parities of sets: what tells, without loss, that two can't be similar."""
 
-    def __init__(self, n: np.ndarray, bits: list[bytes], more: list[bytes | None]):
+    def __init__(self, n: np.ndarray, bits: np.ndarray | list[bytes], more: list[bytes | None]):
         self.n = n
-        self.bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(n), PARITIES // 64)
+        self.bits = bits if isinstance(bits, np.ndarray) else _words_of(bits)
         long = [k for k, x in enumerate(more) if x]
         self.more = np.frombuffer(b"".join(more[k] for k in long), np.uint64).reshape(len(long), MORE // 64)
         self.at = np.full(len(n), -1)
@@ -445,21 +449,22 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined_by_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shingle, class, fp, n, bits, more) sorted by the first two -> links (a, b) that connect the fp of the rows of a
     shingle and class that may be alike."""
-    held: list[list] = [[], [], [], [], [], []]
+    numbers, words_held, more = np.zeros((4, 0), np.int64), np.zeros((0, PARITIES // 64), np.uint64), []
     for b in itertools.chain(batches, [None]):
         if b is not None:
-            for old, c in zip(held, b.columns, strict=True):
-                old.extend(c.to_pylist())
-        if not held[0]:
+            numbers = np.concatenate([numbers, np.stack([c.to_numpy().astype(np.int64) for c in b.columns[:4]])], axis=1)
+            words_held = np.concatenate([words_held, _words_of(b.column(4).to_pylist())])
+            more += b.column(5).to_pylist()
+        if not numbers.shape[1]:
             continue
-        shingle, size_class, fp, n = (np.array(x, np.int64) for x in held[:4])
+        shingle, size_class, fp, n = numbers
         edges = np.concatenate([[0], np.flatnonzero((shingle[1:] != shingle[:-1]) | (size_class[1:] != size_class[:-1])) + 1, [len(fp)]])
         if b is not None:
             edges = edges[:-1]  # the last group may go on
         upto = int(edges[-1])
         if not upto:
             continue
-        marks = Marks(n[:upto], held[4][:upto], held[5][:upto])
+        marks = Marks(n[:upto], words_held[:upto], more[:upto])
         begins, sizes = edges[:-1], np.diff(edges)
         two = begins[sizes == 2]
         two = two[marks.alike(two, two + 1)] if len(two) else two
@@ -470,7 +475,7 @@ def _joined_by_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-        held = [x[upto:] for x in held]
+        numbers, words_held, more = numbers[:, upto:].copy(), words_held[upto:].copy(), more[upto:]
 
 
 def links_by_shingles(docs: DataFrame, texts: DataFrame) -> DataFrame:
