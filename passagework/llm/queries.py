@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, minhash, packing, sharding, simhash, suffix_dedup, topk, toxicity, warc
+from . import bpe, hard_negatives, kneser_ney, minhash, packing, periodic, sharding, simhash, suffix_dedup, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +111,66 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 5, 10, (30, 90, 100), label=label, scale=256)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, c.label = a.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+      FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.e) = len(a.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score WHERE p.r <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def periodic_tail(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten with a tail that repeats a period, by the checksum of its id."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [*words[:a], *(words[a + (i - a) % p] for i in range(a, n))]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.repetition(table(spark, sf_dir, "documents"), 4, 6, rewrite=periodic_tail))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS o,
+  xor(4294967295::BIGINT, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda c, b: list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT)) AS h FROM documents),
+g AS (SELECT doc_id, o, len(o) AS n, h % 10 = 0 AND len(o) > 0 AS planted, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN planted THEN g % n ELSE 0 END AS a FROM g),
+p AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) ELSE 1 END AS p FROM a),
+w AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: o[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE o END AS w FROM p),
+lags AS (SELECT doc_id, n, w, unnest(range(1, n // 4 + 1)) AS q FROM w WHERE n >= 6),
+steps AS (SELECT *, greatest(6 - q, 3 * q) // 3 AS step FROM lags),
+hit AS (SELECT doc_id, n, w, q FROM steps
+  WHERE len(list_filter(range(0, n - q - 2 * step, step), lambda j: w[j + 1] = w[j + q + 1] AND w[j + step + 1] = w[j + step + q + 1] AND w[j + 2 * step + 1] = w[j + 2 * step + q + 1])) > 0),
+gaps AS (SELECT doc_id, q, unnest(list_concat([-1], list_filter(range(n - q), lambda i: w[i + 1] <> w[i + q + 1]), [n - q])) AS gap FROM hit),
+between AS (SELECT doc_id, q, lag(gap) OVER (PARTITION BY doc_id, q ORDER BY gap) + 1 AS start, gap AS stop FROM gaps),
+one AS (SELECT doc_id, start, stop - start + q AS length, min(q) AS period FROM between WHERE stop - start + q >= greatest(6, 4 * q) GROUP BY doc_id, start, stop - start + q),
+best AS (SELECT doc_id, count(*) AS n_runs, arg_min((start, length, period), (-(length / period), start, period)) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM one GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM one),
+rest AS (SELECT w.doc_id, w.i, w.word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM w) w ANTI JOIN dropped x ON x.doc_id = w.doc_id AND x.i = w.i),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS k FROM rest GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b[1]::BIGINT AS start, b[2]::BIGINT AS length, b[3]::BIGINT AS period, (1000 * b[2] // b[3])::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM w LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -121,10 +182,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_maxscore_topk": op9_maxscore_topk,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": OP1_SQL,
     "op3_arc_to_warc": OP3_SQL,
     "op9_maxscore_topk": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_periodic_runs": OP12_SQL,
 }
