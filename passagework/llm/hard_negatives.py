@@ -13,7 +13,8 @@ shards in blocks of bounded size; scores are exact integers.
 Defined results: rows with a null id, label or vector, or with a null or non-finite component, take no part; vectors whose
 length isn't the anchor's are no candidates; rows with the anchor's id are none either, other rows with equal ids all are;
 repeated anchor rows count once, those with one id but different vectors or labels are searched one by one; a positive with
-a negative score has an empty window; equal scores go by smaller id; an empty table gives none.
+a negative score has an empty window; equal scores go by smaller id; scores past
+64 bits count as the greatest or the least long; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -139,6 +140,10 @@ def _kind(queries: np.ndarray, rows: np.ndarray) -> type:
     return np.float64 if reach < EXACT / 4 else np.int64 if reach < 2**61 else object
 
 
+def _long(scores: np.ndarray) -> np.ndarray:
+    return np.array([max(-(2**63), min(2**63 - 1, x)) for x in scores], np.int64) if scores.dtype == object else scores.astype(np.int64)
+
+
 def _packed(df: DataFrame, group: str, columns: list[str], arrays: list[str]) -> DataFrame:
     """A row for each group and vector length: its number of rows m and each column as little-endian 64-bit integers, arrays
     one after another."""
@@ -196,7 +201,7 @@ def _walks(batches: Iterator[pa.RecordBatch], k: int, with_windows: bool) -> Ite
                 out += [(ids[q], key, window, b.ids, b.scores) for window, b in found if b.ids is not None]
             if out:
                 n = [len(x[3]) for x in out]
-                flat = [np.repeat([int(x[c]) for x in out], n) for c in range(3)] + [np.concatenate([x[c] for x in out]).astype(np.int64) for c in (3, 4)]
+                flat = [np.repeat([int(x[c]) for x in out], n) for c in range(3)] + [np.concatenate([x[3] for x in out]), np.concatenate([_long(x[4]) for x in out])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], ["anchor_id", "anchor_key", "window", "id", "score"])
 
 

@@ -63,9 +63,11 @@ def test_one_walk_prunes_and_keeps_ties():
 
 
 def test_large_components_are_exact(spark):
-    rows = [(i, i % 2, [float(2**24 + i), 1.0, -(2.0**25) + 3 * i]) for i in range(1, 60)] + [(100, 1, [2.0**25, 3.0, -(2.0**24)])]
+    rows = [(i, i % 2, [float(2**20 + i), 1.0, -(2.0**21) + 3 * i]) for i in range(1, 60)] + [(100, 1, [2.0**21, 3.0, -(2.0**20)])]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     assert sorted(map(tuple, hard_negatives.mine(df, F.col("vec_id") % 100 == 0).collect())) == hard_brute(rows, 5, 10, (30, 90, 100))
+    huge = df.withColumn("embedding", F.transform("embedding", lambda x: x * 1024))  # scores past 64 bits
+    assert all(r.positive_score == 2**63 - 1 for r in hard_negatives.mine(huge, F.col("vec_id") % 100 == 0).collect())
 
 
 def runs_brute(words, least=6, min_exp=4):
