@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hard_negatives, kneser_ney, minhash, packing, periodic, sharding, simhash, suffix_dedup, topk, toxicity, warc
+from . import bottomk, bpe, hard_negatives, kneser_ney, minhash, packing, periodic, sharding, simhash, suffix_dedup, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -171,6 +171,22 @@ FROM w LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op13_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"), bottomk.Rule(3, 85, 100)).drop("key")
+
+
+OP13_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(array_slice(w, i + 1, i + 3), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least AS component_id, d.doc_id = least AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -184,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_bottomk": op13_bottomk,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -192,4 +209,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_maxscore_topk": OP9_SQL,
     "op11_hard_negatives": OP11_SQL,
     "op12_periodic_runs": OP12_SQL,
+    "op13_bottomk": OP13_SQL,
 }
