@@ -71,7 +71,16 @@ def materialize(df: DataFrame, name: str, seen: Observation | None = None, *what
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._passagework_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes what materialize() wrote; nothing may be computed from it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._passagework_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def gapless_rank(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
