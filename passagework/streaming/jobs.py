@@ -3,6 +3,9 @@
 A job is (job_id, collection_id, add array<string>, remove array<string>). Batches run through foreachBatch; within a
 batch additions come first. A failing document is reported and the rest goes on; an unknown collection ends its job.
 Documents that are in the collection already, by the registry or by an earlier job of the batch, are reported as such.
+
+memberships() keeps, for a stream of single changes, what a job log makes of each document in each collection, as keyed
+state: additions and removals of a pair in the order of their numbers, whatever batches they come in.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from ..config import ChunkConfig
 from ..operators import registry as R
 from ..operators.chunking import chunk_by_config
 from ..sources.embedders import Embedder, embedding
+from ..sources.tables import RegistryStore
 
 JOB = "job_id string, collection_id string, add array<string>, remove array<string>"
 REPORT = "job_id string, kind string, document_id string, collection_id string, model_used string, vector_db string, total_chunks int, error string, started_at timestamp, finished_at timestamp"
@@ -75,23 +79,44 @@ def run_jobs(r: R.Registry, jobs: DataFrame, texts: DataFrame, chunkers: list[Ch
     return Outcome(after, reports.select(names))
 
 
-def start(spark: SparkSession, jobs_dir: str, checkpoint: str, load: Callable[[], R.Registry], publish: Callable[[R.Registry], object], reports_dir: str, texts: DataFrame, chunkers: list[ChunkConfig], embedder: Embedder, embed: Callable | None = None, once: bool = False) -> StreamingQuery:
-    """Jobs from JSON files in a folder; reports as Parquet, under the batch's number, so a repeated batch writes no second
-    ones. A batch that is run again after a failure finds its additions in the registry."""
-    stream = spark.readStream.schema(JOB).option("maxFilesPerTrigger", FILES_PER_BATCH).json(jobs_dir)
+def start(spark: SparkSession, jobs_dir: str, checkpoint: str, load: Callable[[], R.Registry], publish: Callable[[R.Registry], object], reports_dir: str, texts: DataFrame, chunkers: list[ChunkConfig], embedder: Embedder, embed: Callable | None = None, once: bool = False, files_per_batch: int = FILES_PER_BATCH) -> StreamingQuery:
+    """Jobs from JSON files in a folder; reports as Parquet, a folder for each batch.
+
+    With a RegistryStore's load and save each batch is one transaction of the checkpoint: its reports are written where readers
+    don't look, the registry is published with the batch's number, then the reports' folder gets its name. A batch that is run
+    again after a failure before the publishing starts over; after it, only the renaming is made good. So the registry changes
+    once and the reports are those of the run that changed it. Other functions get no such promise: a repeated batch finds its
+    additions in the registry.
+    """
+    stream = spark.readStream.schema(JOB).option("maxFilesPerTrigger", files_per_batch).json(jobs_dir)
+    store = getattr(publish, "__self__", None)
+    store = store if isinstance(store, RegistryStore) else None
+    writer_id = f"jobs {checkpoint}"
 
     def batch(jobs: DataFrame, number: int) -> None:
-        place = f"{reports_dir}/_chunks-{number}"
+        fs = spark._jvm.org.apache.hadoop.fs.Path(reports_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+        path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+        place, hidden, shown = f"{reports_dir}/_chunks-{number}", f"{reports_dir}/_batch-{number}", f"{reports_dir}/batch={number}"
 
         def keep(chunks: DataFrame) -> DataFrame:
             chunks.write.mode("overwrite").parquet(place)
             return spark.read.schema(chunks.schema).parquet(place)
 
-        out = run_jobs(load(), jobs, texts, chunkers, embedder, embed, keep)
-        out.reports.write.mode("overwrite").parquet(f"{reports_dir}/batch={number}")
-        publish(out.registry)
-        path = spark._jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        last = None if store is None else store.transaction(writer_id)
+        if last is None or last < number:
+            out = run_jobs(load(), jobs, texts, chunkers, embedder, embed, keep)
+            out.reports.write.mode("overwrite").parquet(hidden)
+            publish(out.registry) if store is None else store.save(out.registry, (writer_id, number))
+        if fs.exists(path(hidden)):
+            fs.delete(path(shown), True)
+            if not fs.rename(path(hidden), path(shown)):
+                raise OSError(f"{hidden} could not be renamed")
+        fs.delete(path(place), True)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def report_stream(spark: SparkSession, reports_dir: str) -> DataFrame:
+    """The reports as a stream, each once, with their batch."""
+    return spark.readStream.schema(f"{REPORT}, batch int").parquet(reports_dir)
