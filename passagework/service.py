@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from .config import ChunkConfig, Page, ParseConfig, Semantic, Sliding, Snapping, chunk_config_from_json, chunk_config_to_json, collection_name
 from .errors import AlreadyExists, EmptyResult, InvalidInput, InvalidModel, NotFound
+from .operators import pivots
 from .operators import registry as R
 from .operators.chunking import chunk, chunk_rows
 from .operators.parsing import PageExtractor, parse, require_type
 from .operators.pdf import pdf_text
+from .operators.pivots import PivotIndex
 from .operators.search import top_k
 from .sources.embedders import Embedder, embedding, size_of
 from .sources.providers import Providers
@@ -217,6 +219,8 @@ class DocumentService:
 class VectorService:
     def __init__(self, s: Services):
         self.s = s
+        #: By collection: the registry's version and the index of its vectors then.
+        self.indexes: dict[str, tuple[int, PivotIndex]] = {}
 
     def list_collections(self, page: Page = Page()) -> tuple[int, DataFrame]:
         return self.s.registry.collections.count(), R.ordered(self.s.registry.collections, page)
@@ -293,8 +297,23 @@ class VectorService:
         collection = self.get_collection(collection_id, name, provider)
         vector = self.s.embedders.get(collection["embedder"]).embed([query.strip()], collection["model"])[0]
         own = R.filtered(self.s.registry.vectors, collection_id=collection["id"]).where("content is not null")
+        number, index = self.indexes.get(collection["id"], (None, None))
+        if index is not None and number == self.s.storage.version():
+            asked = self.s.spark.createDataFrame([("asked", [float(x) for x in vector])], "query_id string, embedding array<double>")
+            found = {r["vec_id"]: r["rank"] for r in pivots.search(index, asked, limit).collect()}
+            rows = own.where(F.col("vec_id").isin(list(found))).select("vec_id", "content").collect()  # `limit` rows
+            return [r["content"] for r in sorted(rows, key=lambda r: found[r["vec_id"]])]
         return [r["content"] for r in top_k(own, list(vector), limit).select("content", "score").collect()]
 
+    def build_index(self, collection_id: str) -> int:
+        """Indexes a collection's vectors; searches use it until the registry changes. Returns the number of vectors."""
+        self.get_collection(collection_id)
+        number = self.s.storage.version()
+        own = R.filtered(self.s.registry.vectors, collection_id=collection_id).where("content is not null")
+        index = pivots.build(own, f"{self.s.storage.base}/index-{uuid.uuid4().hex}")
+        self.indexes[collection_id] = number, index
+        return index.size
+
     def get_embeddings(self, document_id: str, collection_id: str):
         return R.filtered(self.s.registry.embeddings, document_id=document_id, collection_id=collection_id).first()
 
