@@ -117,22 +117,26 @@ def similarities(name: str, seeds: np.ndarray, v: np.ndarray, p: int | None = No
 
 
 def cluster(parts: list[str], vectors: np.ndarray, c: Semantic) -> list[str]:
-    """Groups joined to the first cluster (best_match: the best one) whose first group is similar enough; NaN is not."""
+    """Groups joined to the first cluster (best_match: the best one, of those that are equal to 12 decimals the first) whose
+    first group is similar enough; NaN is not."""
     if not parts:
         return []
     vectors = np.asarray(vectors, np.float64)
-    texts, seeds = [parts[0]], [0]
+    texts, seeds, n = [parts[0]], vectors[:1].copy(), 1  # the first n seeds count; the array doubles
     for i in range(1, len(parts)):
         stripped = parts[i].strip(WHITE_SPACE)
         if not stripped:
             continue
-        near = similarities(c.distance, vectors[seeds], vectors[i], c.p)
+        near = similarities(c.distance, seeds[:n], vectors[i], c.p)
         ok = np.flatnonzero(near >= c.threshold)
         if len(ok):
-            texts[ok[near[ok].argmax()] if c.best_match else ok[0]] += parts[i]
+            texts[ok[near[ok].round(12).argmax()] if c.best_match else ok[0]] += parts[i]
         else:
             texts.append(stripped)
-            seeds.append(i)
+            if n == len(seeds):
+                seeds = np.concatenate([seeds, np.empty_like(seeds)])
+            seeds[n] = vectors[i]
+            n += 1
     return texts
 
 
@@ -172,16 +176,15 @@ def chunk_rows(df: DataFrame, c: ChunkConfig, text: str = "text", embed: Embed |
 
 def chunk_by_config(df: DataFrame, configs: list[ChunkConfig], kind: str, text: str = "text", embed: Embed | None = None) -> DataFrame:
     """Chunks of each row by the configuration whose number is in column `kind`; rows without one, or whose chunks are
-    empty, come out with a null chunk_idx and an error."""
-    out = None
+    empty, come out with a null chunk_idx and an error. One scan, whatever the number of configurations."""
     rest = [x for x in df.columns if x not in (text, kind)]
-    for i, c in enumerate(configs):
-        some = df.where(F.col(kind) == i).select(*rest, chunk(F.col(text), c, embed).alias("_chunks"))
-        some = some.select(*rest, F.posexplode_outer("_chunks").alias("chunk_idx", "chunk")).withColumn("error", F.when(F.col("chunk_idx").isNull(), "chunks cannot be empty"))
-        out = some if out is None else out.unionByName(some)
-    known = list(range(len(configs)))
-    lost = df.where(F.col(kind).isNull() | ~F.col(kind).isin(known)).select(*rest, F.lit(None).cast("int").alias("chunk_idx"), F.lit(None).cast("string").alias("chunk"), F.lit("no chunker").alias("error"))
-    return lost if out is None else out.unionByName(lost)
+    known = F.col(kind).isin(list(range(len(configs)))) if configs else F.lit(False)
+    own = [chunk(F.when(F.col(kind) == i, F.col(text)), c, embed) for i, c in enumerate(configs)]  # null for the other rows
+    chunks = F.coalesce(*own) if own else F.lit(None).cast("array<string>")
+    some = df.select(*rest, F.coalesce(known, F.lit(False)).alias("_known"), chunks.alias("_chunks"))
+    some = some.select(*rest, "_known", F.posexplode_outer("_chunks").alias("chunk_idx", "chunk"))
+    error = F.when(~F.col("_known"), "no chunker").when(F.col("chunk_idx").isNull(), "chunks cannot be empty")
+    return some.withColumn("error", error).drop("_known")
 
 
 def slide(text: str, c: Sliding) -> list[str]:

@@ -5,8 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import threading
+import time
+import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 from typing import Protocol
 
@@ -66,12 +70,60 @@ class HashingEmbedder:
 
 
 class _Remote:
-    def _call(self, url: str, body: dict | None = None, headers: dict[str, str] | None = None) -> dict:
+    """Requests of BATCH texts. A failed one is sent again, it alone, after a wait that doubles (or that the server names): an
+    answer of 429 or 5xx, no answer in time, a broken one, or one without a row for each text. `concurrency` requests of a
+    task are under way at once; `rate` bounds a task's requests a second, so a budget for all tasks is divided by the
+    number that run at once. Rows come in the order of the texts."""
+
+    def __init__(self, concurrency: int = 1, attempts: int = 6, wait: float = 0.2, rate: float | None = None):
+        self.concurrency, self.attempts, self.wait, self.rate = concurrency, attempts, wait, rate
+
+    def _once(self, url: str, body: dict | None, headers: dict[str, str] | None) -> dict:
         data = json.dumps(body).encode() if body is not None else None
         request = urllib.request.Request(url, data, {"Content-Type": "application/json", **(headers or {})})
         with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
             return json.load(answer)
 
+    def _call(self, url: str, body: dict | None = None, headers: dict[str, str] | None = None, read: Callable[[dict], object] = lambda x: x) -> object:
+        for attempt in range(self.attempts):
+            pause = self.wait * 2**attempt
+            try:
+                return read(self._once(url, body, headers))
+            except urllib.error.HTTPError as e:
+                if attempt + 1 == self.attempts or e.code != 429 and e.code < 500:
+                    raise
+                named = e.headers.get("Retry-After", "")
+                pause = max(pause, float(named)) if named.replace(".", "", 1).isdigit() else pause
+            except (OSError, ValueError, KeyError):
+                if attempt + 1 == self.attempts:
+                    raise
+            time.sleep(pause)
+        raise AssertionError
+
+    def _rows(self, texts: list[str], ask: Callable[[list[str]], list]) -> np.ndarray:
+        gap, lock, free = 1 / self.rate if self.rate else 0.0, threading.Lock(), [0.0]
+
+        def one(part: list[str]) -> list:
+            if gap:
+                with lock:
+                    at = max(time.monotonic(), free[0])
+                    free[0] = at + gap
+                time.sleep(max(0.0, at - time.monotonic()))
+            return ask(part)
+
+        parts = [texts[i : i + BATCH] for i in range(0, len(texts), BATCH)]
+        if self.concurrency <= 1:
+            found = map(one, parts)
+            return np.array([v for rows in found for v in rows], float)
+        with ThreadPoolExecutor(self.concurrency) as pool:
+            return np.array([v for rows in pool.map(one, parts) for v in rows], float)
+
+
+def _as_many(rows: list, texts: list[str]) -> list:
+    if len(rows) != len(texts):
+        raise ValueError(f"{len(rows)} rows for {len(texts)} texts")
+    return rows
+
 
 class RemoteEmbedder(_Remote):
     """A server with GET list (names and dimensions) and POST embed ({"model", "content"})."""
@@ -79,15 +131,15 @@ class RemoteEmbedder(_Remote):
     id = "remote"
     default_model = ("Xenova/bge-base-en-v1.5", 768)
 
-    def __init__(self, url: str):
+    def __init__(self, url: str, **how):
+        super().__init__(**how)
         self.url = url.rstrip("/")
 
     def models(self) -> dict[str, int]:
         return dict(self._call(f"{self.url}/list"))
 
     def embed(self, texts: list[str], model: str) -> np.ndarray:
-        rows = [v for i in range(0, len(texts), BATCH) for v in self._call(f"{self.url}/embed", {"model": model, "content": texts[i : i + BATCH]})["embeddings"]]
-        return np.array(rows, float)
+        return self._rows(texts, lambda part: self._call(f"{self.url}/embed", {"model": model, "content": part}, read=lambda x: _as_many(x["embeddings"], part)))
 
 
 class OpenAiEmbedder(_Remote):
@@ -96,7 +148,8 @@ class OpenAiEmbedder(_Remote):
     id = "openai"
     default_model = ("text-embedding-ada-002", 1536)
 
-    def __init__(self, url: str = "https://api.openai.com/v1/embeddings"):
+    def __init__(self, url: str = "https://api.openai.com/v1/embeddings", **how):
+        super().__init__(**how)
         self.url = url
 
     def models(self) -> dict[str, int]:
@@ -107,8 +160,14 @@ class OpenAiEmbedder(_Remote):
             raise InvalidInput("nothing to embed")
         size_of(self, model)
         key = {"Authorization": f"Bearer {os.environ['OPENAI_API_KEY']}"}
-        rows = [x["embedding"] for i in range(0, len(texts), BATCH) for x in self._call(self.url, {"model": model, "input": texts[i : i + BATCH]}, key)["data"]]
-        return np.array(rows, float)
+
+        def read(answer: dict, part: list[str]) -> list:
+            data = answer["data"]
+            # answers may come in another order than the texts, with their places
+            data = sorted(data, key=lambda x: x["index"]) if all("index" in x for x in data) else data
+            return _as_many([x["embedding"] for x in data], part)
+
+        return self._rows(texts, lambda part: self._call(self.url, {"model": model, "input": part}, key, lambda x: read(x, part)))
 
 
 class LocalEmbedder:
