@@ -21,7 +21,7 @@ from ..service import embed_documents
 from ..sources.embedders import HashingEmbedder, embedding
 from ..sources.store import ingest
 from ..streaming.jobs import run_jobs
-from . import sentences_sql, services
+from . import sentences_sql, services, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -112,6 +112,15 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(out).alias("chunk_idx", "chunk"))
 
 
+def _clusters(name: str, threshold: float, best: bool = False) -> Query:
+    config = Semantic(size=2, threshold=threshold, distance=name, p=3 if name == "minkowski" else None, best_match=best)
+    return lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.posexplode(semantic(F.col("text"), config, HashingEmbedder().embed)).alias("chunk_idx", "chunk"))
+
+
+for _name, _threshold in (("euclidean", 1.3137), ("manhattan", 6.137), ("angular", 0.4137), ("chebyshev", 0.4137), ("dotProduct", 0.2137), ("minkowski", 0.7137)):
+    query(f"chunk_semantic_{_name.lower()}", sentences_sql.semantic_sql(2, _threshold, _name))(_clusters(_name, _threshold))
+query("chunk_semantic_best_match", sentences_sql.semantic_sql(2, 0.2137, best=True))(_clusters("cosine", 0.2137, True))
+
 # --- hashes, files, pages ---
 
 
@@ -364,10 +373,13 @@ UNION ALL SELECT 'job-3', 'error', NULL, '99', NULL, 'no such collection'""".rep
 def batch_embed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = registry(spark, sf_dir)
     docs = r.documents
-    some = lambda keep: F.collect_list(F.when(keep, F.col("id")))
-    missing = F.array(F.lit(1000000000000))
-    one = docs.agg(some(F.col("id") % 4 == 1).alias("add")).select(F.lit("job-1").alias("job_id"), F.lit(6).cast("long").alias("collection_id"), "add", F.array().cast("array<bigint>").alias("remove"))
-    two = docs.agg(some(F.col("id") % 8 == 1).alias("add"), some(F.col("id") % 100 == 0).alias("remove")).select(F.lit("job-2").alias("job_id"), F.lit(6).cast("long").alias("collection_id"), F.concat("add", missing).alias("add"), "remove")
+    some = lambda keep: F.collect_list(F.when(keep, F.col("id")))  # noqa: E731  of 400 ids at most
+    dealt = docs.groupBy(F.floor(F.col("id") / 400))
+    none = F.array().cast("array<bigint>")
+    job = lambda name: [F.lit(name).alias("job_id"), F.lit(6).cast("long").alias("collection_id")]
+    one = dealt.agg(some(F.col("id") % 4 == 1).alias("add")).select(*job("job-1"), "add", none.alias("remove"))
+    two = dealt.agg(some(F.col("id") % 8 == 1).alias("add"), some(F.col("id") % 100 == 0).alias("remove")).select(*job("job-2"), "add", "remove")
+    two = two.unionByName(spark.range(1).select(*job("job-2"), F.array(F.lit(1000000000000)).alias("add"), none.alias("remove")))
     three = spark.range(1).select(F.lit("job-3").alias("job_id"), F.lit(99).cast("long").alias("collection_id"), F.array(F.lit(5).cast("long")).alias("add"), F.array().cast("array<bigint>").alias("remove"))
     kind = F.when(F.col("document_id") % 3 == 1, 0).when(F.col("document_id") % 3 == 2, 1)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text").withColumn("kind", kind)
@@ -453,3 +465,7 @@ def embed_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- services and files ---
 
 services.register(query)
+
+# --- stores, streams, indexes ---
+
+storage.register(query, on_registry, registry, table, _SPACE, REGISTRY_SQL)

@@ -86,21 +86,35 @@ embedded AS (
   FROM {rows} r LEFT JOIN whole w ON w.{key} = r.{key})"""
 
 
-def semantic_sql(size: int, threshold: float) -> str:
-    """Groups of sentences joined to the first cluster whose first group has a cosine of `threshold` or more."""
+_GAPS = "list_transform(range(1, len({a}) + 1), lambda i: abs({a}[i] - {b}[i]))"
+#: Similarity of lists {a} and {b}; what is None where a vector is zero.
+SIMILARITIES = {
+    "cosine": "CASE WHEN list_max(list_transform({a}, lambda x: abs(x))) > 0 AND list_max(list_transform({b}, lambda x: abs(x))) > 0 THEN round(list_cosine_similarity({a}, {b}), 12) END",
+    "euclidean": "list_distance({a}, {b})",
+    "manhattan": f"list_sum({_GAPS})",
+    "angular": "CASE WHEN list_max(list_transform({a}, lambda x: abs(x))) > 0 AND list_max(list_transform({b}, lambda x: abs(x))) > 0 THEN acos(greatest(-1, least(1, list_cosine_similarity({a}, {b})))) / pi() END",
+    "chebyshev": f"list_max({_GAPS})",
+    "dotProduct": "list_inner_product({a}, {b})",
+    "minkowski": f"pow(list_sum(list_transform({_GAPS}, lambda x: pow(x, 3))), 1.0 / 3)",
+}
+
+
+def semantic_sql(size: int, threshold: float, name: str = "cosine", best: bool = False) -> str:
+    """Groups of sentences joined to the first cluster whose first group is similar by `threshold` or more; best: to the most
+    similar one of those."""
+    pick = "list_sort(list_transform(list_filter(n.alike, lambda x: list_contains(w.seeds, x.g)), lambda x: {'s': -x.s, 'g': x.g}))[1].g" if best else "list_filter(n.alike, lambda x: list_contains(w.seeds, x.g))[1].g"
     return f"""WITH RECURSIVE {groups_sql(size)},
 keyed AS (SELECT doc_id::VARCHAR || '/' || g AS name, doc_id, g, content FROM grouped),{embedding_sql("keyed", "name", "content")},
 vectors AS (SELECT k.doc_id, k.g, k.content, k.g > 0 AND regexp_replace(k.content, '{SPACE}', '', 'g') = '' AS blank, e.embedding FROM keyed k JOIN embedded e ON e.name = k.name),
+scored AS (SELECT a.doc_id, a.g, b.g AS other, {SIMILARITIES[name].format(a="a.embedding", b="b.embedding")} AS s FROM vectors a JOIN vectors b ON b.doc_id = a.doc_id AND b.g < a.g),
 near AS (
-  SELECT a.doc_id, a.g, list(b.g ORDER BY b.g) FILTER (WHERE b.g IS NOT NULL) AS alike FROM vectors a LEFT JOIN vectors b
-  ON b.doc_id = a.doc_id AND b.g < a.g AND list_max(list_transform(b.embedding, lambda x: abs(x))) > 0 AND list_max(list_transform(a.embedding, lambda x: abs(x))) > 0
-     AND round(list_cosine_similarity(a.embedding, b.embedding), 12) >= {threshold}
-  GROUP BY a.doc_id, a.g),
+  SELECT a.doc_id, a.g, list({{'g': b.other, 's': b.s}} ORDER BY b.other) FILTER (WHERE b.other IS NOT NULL) AS alike FROM vectors a LEFT JOIN scored b
+  ON b.doc_id = a.doc_id AND b.g = a.g AND b.s >= {threshold} GROUP BY a.doc_id, a.g),
 walk AS (
   SELECT doc_id, 0 AS g, [0]::INTEGER[] AS seeds, 0 AS seed FROM vectors WHERE g = 0
   UNION ALL
   SELECT doc_id, g, CASE WHEN seed IS NULL AND NOT blank THEN list_append(seeds, g) ELSE seeds END, CASE WHEN blank THEN NULL ELSE coalesce(seed, g) END FROM (
-    SELECT w.doc_id, v.g, v.blank, w.seeds, list_filter(w.seeds, lambda s: list_contains(n.alike, s))[1] AS seed
+    SELECT w.doc_id, v.g, v.blank, w.seeds, {pick} AS seed
     FROM walk w JOIN vectors v ON v.doc_id = w.doc_id AND v.g = w.g + 1 JOIN near n ON n.doc_id = v.doc_id AND n.g = v.g))
 SELECT w.doc_id, (dense_rank() OVER (PARTITION BY w.doc_id ORDER BY w.seed) - 1)::INTEGER AS chunk_idx,
        string_agg(CASE WHEN v.g = w.seed AND v.g > 0 THEN regexp_replace(v.content, '^{SPACE}+|{SPACE}+$', '', 'g') ELSE v.content END, '' ORDER BY v.g) AS chunk
