@@ -20,6 +20,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: once in the worker and once in the JVM.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2048
 
+#: Bytes of a row group of an intermediate table, which its writer holds.
+ROW_GROUP = 16 << 20
+
 #: What separates words: space and the ASCII controls 9 to 13.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -67,7 +70,7 @@ def materialize(df: DataFrame, name: str, seen: Observation | None = None, *what
     rows = int(before[BATCH] or 0)
     spark.conf.set(BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
@@ -83,6 +86,12 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all that materialize() has written to the shared folder, for when results have been read or written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/passagework")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def gapless_rank(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """Add `name`: 0, 1, 2, ... within equal `by`, in no stated order, without ever gathering a group in one task.
 

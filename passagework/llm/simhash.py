@@ -17,9 +17,9 @@ similarity of 0.8 or more, in chains. SimHash fingerprints over the sets of word
 give families by the links above, and shared shingles give those that the fingerprints miss, without loss: under one order
 of all shingles, two sets of n and m shingles at 0.8 have one in common among the first n - ceil(0.8 n) + 1 and
 m - ceil(0.8 m) + 1 (the prefix filter). The order puts shingles that are frequent in a sample last, so few documents meet
-by them; any order is right. Of shingles by which the same documents meet one is kept; where more than HOT meet, they do
-so by classes of size. What meets is linked if the sizes allow 0.8 and if the parities of hashed bits differ in no more
-places than the sets may differ, both of which every pair at 0.8 passes.
+by them; any order is right. Of shingles by which the same documents meet one is kept. Where HOT or fewer meet, they are
+linked if the sizes allow 0.8 and if the parities of hashed bits differ in no more places than the sets may differ, both of
+which every pair at 0.8 passes; where more meet, all are linked with the first of them, without a look at pairs.
 
 Families are verified on sets of shingle hashes. Every member is compared with its family's first, in salted parts, which
 settles nearly all; only those that are not similar to it (the rest) are compared with the others, in blocks of bounded
@@ -308,8 +308,8 @@ def near_duplicates(df: DataFrame, tau: int = 2, size: int = 3, id_col: str = "d
 
 #: Of near duplicates: differing bits of word-set fingerprints, words of a shingle, shingles of a block's documents (16 MB).
 WORD_TAU, WORDS, BLOCK = 2, 5, 1 << 21
-#: Documents of the sample that orders shingles, and occurrences in it that make one frequent.
-SAMPLE, FREQUENT = 20_000, 16
+#: Documents of the sample that orders shingles, occurrences in it that make one frequent, and frequent ones at most.
+SAMPLE, FREQUENT, OFTEN = 20_000, 16, 1 << 18
 #: Bits of a set's parities, those of sets over LONG shingles, for which they would say little, and LONG.
 PARITIES, MORE, LONG = 1024, 8192, 1200
 
@@ -399,7 +399,8 @@ class Marks:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that occur in FREQUENT or more of about SAMPLE documents, however many there are."""
+    """Shingles that occur in FREQUENT or more of about SAMPLE documents, however many there are, the OFTEN most frequent at
+    most: 2 MB, which every task gets. They only decide in which order shingles are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import pieces
@@ -410,7 +411,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
     share = max(1, docs.count() // SAMPLE)
     sample = docs.where(F.pmod("key", F.lit(share)) == 0).select("text").mapInArrow(lean(run), "h long")
-    often = sample.groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toArrow()  # of a sample of fixed size
+    often = sample.groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.col("count").desc(), "h").limit(OFTEN).select("h").toArrow()
     return np.sort(often["h"].to_numpy().view(np.uint64))
 
 
@@ -447,35 +448,36 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined_by_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, class, fp, n, bits, more) sorted by the first two -> links (a, b) that connect the fp of the rows of a
-    shingle and class that may be alike."""
-    numbers, words_held, more = np.zeros((4, 0), np.int64), np.zeros((0, PARITIES // 64), np.uint64), []
+    """(shingle, fp, n, bits, more) sorted by shingle, HOT rows of one at most -> links (a, b) that connect the fp of the rows
+    of a shingle that may be alike."""
+    held = None
     for b in itertools.chain(batches, [None]):
-        if b is not None:
-            numbers = np.concatenate([numbers, np.stack([c.to_numpy().astype(np.int64) for c in b.columns[:4]])], axis=1)
-            words_held = np.concatenate([words_held, _words_of(b.column(4).to_pylist())])
-            more += b.column(5).to_pylist()
-        if not numbers.shape[1]:
-            continue
-        shingle, size_class, fp, n = numbers
-        edges = np.concatenate([[0], np.flatnonzero((shingle[1:] != shingle[:-1]) | (size_class[1:] != size_class[:-1])) + 1, [len(fp)]])
-        if b is not None:
-            edges = edges[:-1]  # the last group may go on
-        upto = int(edges[-1])
-        if not upto:
-            continue
-        marks = Marks(n[:upto], words_held[:upto], more[:upto])
-        begins, sizes = edges[:-1], np.diff(edges)
-        two = begins[sizes == 2]
-        two = two[marks.alike(two, two + 1)] if len(two) else two
-        out = [np.stack([fp[two], fp[two + 1]], 1)]
-        for i, size in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            out += [np.stack([fp[members], np.full(len(members), fp[root])], 1) for members, root in marks.outwards(np.arange(i, i + size))]
-        pairs = np.concatenate(out)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-        numbers, words_held, more = numbers[:, upto:].copy(), words_held[upto:].copy(), more[upto:]
+        for part in [None] if b is None else (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
+            if part is not None:
+                numbers = np.stack([c.to_numpy().astype(np.int64) for c in part.columns[:3]])
+                now = numbers, _words_of(part.column(3).to_pylist()), part.column(4).to_pylist()
+                held = now if held is None else (np.concatenate([held[0], now[0]], axis=1), np.concatenate([held[1], now[1]]), held[2] + now[2])
+            if held is None:
+                continue
+            (shingle, fp, n), bits, more = held
+            edges = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(fp)]])
+            if part is not None:
+                edges = edges[:-1]  # the last group may go on
+            upto = int(edges[-1])
+            if not upto:
+                continue
+            marks = Marks(n[:upto], bits[:upto], more[:upto])
+            begins, sizes = edges[:-1], np.diff(edges)
+            two = begins[sizes == 2]
+            two = two[marks.alike(two, two + 1)] if len(two) else two
+            out = [np.stack([fp[two], fp[two + 1]], 1)]
+            for i, size in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                out += [np.stack([fp[members], np.full(len(members), fp[root])], 1) for members, root in marks.outwards(np.arange(i, i + size))]
+            pairs = np.concatenate(out)
+            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            held = (held[0][:, upto:].copy(), bits[upto:].copy(), more[upto:])
 
 
 def links_by_shingles(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -486,12 +488,15 @@ def links_by_shingles(docs: DataFrame, texts: DataFrame) -> DataFrame:
     met = prefixes.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(lean(_met_again), "shingle long, key long")
     met = materialize(met, "shingles")
     who = [F.count(F.lit(1)).alias("meet"), F.bit_xor(F.xxhash64("key")).alias("who"), F.min("key").alias("least"), F.max("key").alias("most")]
-    one = met.groupBy("shingle").agg(*who).groupBy("meet", "who", "least", "most").agg(F.min("shingle").alias("only")).select("only", "meet")
-    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) - 1e-9).cast("int")  # sets at 0.8 are in one class or in neighbouring ones
-    classes = F.explode(F.when(F.col("meet") > HOT, F.array(size_class, size_class + 1)).otherwise(F.array(F.lit(-1)))).alias("class")
-    rows = met.join(one, F.col("shingle") == F.col("only")).join(texts.select("key", "fp", "n", "bits", "more"), "key").select("shingle", classes, "fp", "n", "bits", "more")
-    dealt = rows.repartition("shingle", "class").sortWithinPartitions("shingle", "class")
-    return materialize(dealt.mapInArrow(lean(_joined_by_shingles), "a long, b long").distinct(), "links")
+    one = met.groupBy("shingle").agg(*who).groupBy("meet", "who", "least", "most").agg(F.min("shingle").alias("only"), F.first("least").alias("first")).select("only", "meet", "first")
+    rows = met.join(one, F.col("shingle") == F.col("only")).select("shingle", "key", "meet", "first")
+    few = rows.where(F.col("meet") <= HOT).join(texts.select("key", "fp", "n", "bits", "more"), "key").select("shingle", "fp", "n", "bits", "more")
+    near = few.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(lean(_joined_by_shingles), "a long, b long")
+    # where more meet, they are one family as they are: no task looks at all of them, verification deals them over blocks
+    named = texts.select(F.col("key").alias("t_key"), "fp")
+    many = rows.where(F.col("meet") > HOT).join(named, F.col("key") == F.col("t_key")).select("first", F.col("fp").alias("a"))
+    many = many.join(named, F.col("first") == F.col("t_key")).select("a", F.col("fp").alias("b")).where("a <> b")
+    return materialize(near.unionByName(many).distinct(), "links")
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -631,7 +636,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     texts = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bits", "more")], first), "texts")
     family = components(links(texts.select("fp").distinct(), WORD_TAU).unionByName(links_by_shingles(docs, texts)))
     rooted = texts.join(family, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), F.col("key").alias("m_key"), "n", "bits", "more", F.col("first.id").alias("m_id"))
-    sizes = rooted.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum(F.col("n") + 1) / BLOCK).alias("blocks"), F.min("m_key").alias("pivot")).where("members > 1")
+    sizes = rooted.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum(F.col("n") + 1) / BLOCK).alias("blocks"), F.min(F.struct("n", "m_key"))["m_key"].alias("pivot")).where("members > 1")
     members = materialize(rooted.join(sizes, F.col("root") == F.col("r")).select("root", "pivot", "blocks", "m_key", "m_id", "bits", "more"), "members")
     own = docs.join(members, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).dropDuplicates(["key"]).select("root", "pivot", "blocks", "key", "bits", "more", "text")
     sets = materialize(own.mapInArrow(lean(_sets), "root long, pivot long, blocks long, key long, bits binary, more binary, n long, shingles binary"), "sets")
