@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import ChunkConfig, Semantic, Sliding, Snapping
 from ..functions.text import WHITE_SPACE, boundary_at_or_after, boundary_at_or_before, unicode_trim
@@ -201,9 +200,24 @@ def slide(text: str, c: Sliding) -> list[str]:
     return [data[i:j].decode() for i, j in zip(first.tolist(), last.tolist(), strict=True)]
 
 
+def _sum_sql(term: str) -> str:
+    return f"aggregate(zip_with(a, b, (x, y) -> {term}), 0D, (s, x) -> s + x)"
+
+
+_COSINE_SQL = f"try_divide({_sum_sql('x * y')}, sqrt({_sum_sql('x * x')}) * sqrt({_sum_sql('y * y')}))"
+#: The similarity functions as one native expression.
+_SIMILARITY_SQL = f"""CASE WHEN size(a) <> size(b) THEN NULL
+  WHEN name = 'cosine' THEN {_COSINE_SQL} WHEN name = 'dotProduct' THEN {_sum_sql("x * y")}
+  WHEN name = 'euclidean' THEN sqrt({_sum_sql("(x - y) * (x - y)")}) WHEN name = 'manhattan' THEN {_sum_sql("abs(x - y)")}
+  WHEN name = 'angular' THEN CASE WHEN {_COSINE_SQL} IS NOT NULL THEN acos(least(1D, greatest(-1D, {_COSINE_SQL}))) / pi() END
+  WHEN name = 'chebyshev' THEN CASE WHEN exists(zip_with(a, b, (x, y) -> x - y), x -> x IS NULL) THEN NULL ELSE coalesce(array_max(zip_with(a, b, (x, y) -> abs(x - y))), 0D) END
+  WHEN name = 'minkowski' THEN power({_sum_sql("power(abs(x - y), p)")}, 1D / p) END"""
+
+
 def register(spark) -> None:
-    """SQL functions: chunk_sliding and chunk_snapping (text, size, overlap), split_sentences, vector_similarity (name and
-    two vectors; minkowski with the power 3), and the table function chunks (text, size, overlap) for LATERAL."""
+    """SQL functions: chunk_sliding and chunk_snapping (text, size, overlap), split_sentences, vector_similarity (name, two
+    vectors, and minkowski's power, 3 if it isn't given), and the table function chunks (text, size, overlap) for LATERAL.
+    vector_similarity is a native expression."""
 
     @F.pandas_udf("array<string>")
     def chunk_sliding(texts: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
@@ -219,15 +233,12 @@ def register(spark) -> None:
 
         return texts.map(lambda t: None if t is None else groups(t, 1, ".", SKIP_FORWARD, SKIP_BACK))
 
-    @F.pandas_udf(T.DoubleType())
-    def vector_similarity(name: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None or len(x) != len(y) else float(similarities(n, np.asarray(x, float)[None], np.asarray(y, float), 3)[0]) for n, x, y in zip(name, a, b, strict=True)])
-
     @F.udtf(returnType="chunk_idx int, chunk string")
     class Chunks:
         def eval(self, text: str, size: int, overlap: int):
             yield from enumerate(snap(text or "", Snapping(size, overlap)))
 
-    for f in (chunk_sliding, chunk_snapping, split_sentences, vector_similarity):
+    for f in (chunk_sliding, chunk_snapping, split_sentences):
         spark.udf.register(f.__name__, f)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vector_similarity(name STRING, a ARRAY<DOUBLE>, b ARRAY<DOUBLE>, p INT DEFAULT 3) RETURNS DOUBLE RETURN {_SIMILARITY_SQL}")
     spark.udtf.register("chunks", Chunks)

@@ -314,6 +314,8 @@ def _state_sql(**where: str) -> str:
 on_registry("doc_delete_cascade", _state_sql(documents="id % 10 <> 3", chunkers="document_id % 10 <> 3", parsers="document_id % 10 <> 3", embeddings="document_id % 10 <> 3", vectors="document_id % 10 <> 3"))(
     lambda r: _state(R.delete_documents(r, r.documents.where("id % 10 = 3").select("id")))
 )
+_AT = "(SELECT id FROM docs WHERE path = '/data/src3/doc_23.txt')"
+on_registry("doc_delete_by_path", _state_sql(documents=f"id NOT IN {_AT}", **{t: f"document_id NOT IN {_AT}" for t in ("chunkers", "parsers", "embeddings", "vectors")}))(lambda r: _state(R.delete_documents(r, R.documents_at(r, "/data/src3/doc_23.txt"))))
 on_registry("collection_delete_cascade", _state_sql(collections="id <> 2", embeddings="collection_id <> 2", vectors="collection_id <> 2"))(lambda r: _state(R.delete_collections(r, r.collections.where("id = 2").select("id"))))
 on_registry("embeddings_delete", _state_sql(embeddings="NOT (document_id % 3 = 0 AND collection_id = 1)", vectors="NOT (document_id % 3 = 0 AND collection_id = 1 AND document_id IN (SELECT document_id FROM members WHERE collection_id = 1))"))(
     lambda r: _state(R.delete_embeddings(r, r.embeddings.where("document_id % 3 = 0 AND collection_id = 1")))

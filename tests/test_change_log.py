@@ -288,3 +288,17 @@ def test_a_service_searches_its_index(spark, tmp_path):
     assert s.vectors.build_index(c) == 5 and s.vectors.search("apple pear plum", 3, c) == plain and plain[0] in words
     s.vectors.delete_embeddings(c, ids[words.index(plain[0])])
     assert plain[0] not in s.vectors.search("apple pear plum", 3, c)  # the index is of another version
+
+
+def test_sql_similarities_are_the_native_ones(spark):
+    from passagework.functions.vectors import similarity
+    from passagework.operators.chunking import register
+
+    register(spark)
+    rows = [([1.0, 2.0, -3.0], [0.5, -1.0, 2.0]), ([0.0, 0.0], [1.0, 2.0]), ([1.0], [1.0, 2.0]), ([], []), ([1.0, None], [2.0, 3.0]), (None, [1.0]), ([3.0, 4.0], [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    for name in ("cosine", "euclidean", "manhattan", "angular", "chebyshev", "dotProduct", "minkowski"):
+        got = df.select(F.expr(f"vector_similarity('{name}', a, b)").alias("x"), similarity(name, F.col("a"), F.col("b"), 3 if name == "minkowski" else None).alias("y")).collect()
+        assert [r.x is None for r in got] == [r.y is None for r in got] and all(r.x is None or abs(r.x - r.y) < 1e-12 for r in got), name
+    four = spark.sql("SELECT vector_similarity('minkowski', array(1D, 2D), array(3D, 5D), 4) AS v").first().v
+    assert abs(four - (2**4 + 3**4) ** 0.25) < 1e-12
