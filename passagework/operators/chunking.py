@@ -210,7 +210,7 @@ _SIMILARITY_SQL = f"""CASE WHEN size(a) <> size(b) THEN NULL
   WHEN name = 'cosine' THEN {_COSINE_SQL} WHEN name = 'dotProduct' THEN {_sum_sql("x * y")}
   WHEN name = 'euclidean' THEN sqrt({_sum_sql("(x - y) * (x - y)")}) WHEN name = 'manhattan' THEN {_sum_sql("abs(x - y)")}
   WHEN name = 'angular' THEN CASE WHEN {_COSINE_SQL} IS NOT NULL THEN acos(least(1D, greatest(-1D, {_COSINE_SQL}))) / pi() END
-  WHEN name = 'chebyshev' THEN CASE WHEN exists(zip_with(a, b, (x, y) -> x - y), x -> x IS NULL) THEN NULL ELSE coalesce(array_max(zip_with(a, b, (x, y) -> abs(x - y))), 0D) END
+  WHEN name = 'chebyshev' THEN CASE WHEN a IS NULL OR b IS NULL OR exists(zip_with(a, b, (x, y) -> x - y), x -> x IS NULL) THEN NULL ELSE coalesce(array_max(zip_with(a, b, (x, y) -> abs(x - y))), 0D) END
   WHEN name = 'minkowski' THEN power({_sum_sql("power(abs(x - y), p)")}, 1D / p) END"""
 
 
