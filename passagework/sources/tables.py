@@ -195,18 +195,18 @@ class RegistryStore:
             own = change.rows if change.kind == "put" else change.rows.select("id")
             columns = [F.col(f.name) if f.name in own.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
             rows.append(own.select(*columns, F.lit(at).alias("_at"), F.lit(change.kind == "drop").alias("_gone")))
-        path = f"{new}/{name}"
+        path = f"{new}/{name}/delta"
         _union(rows).write.parquet(f"{self.base}/{path}")
         deltas = [*entry["deltas"], {"path": path, "bytes": self._bytes(path)}]
         tier = lambda d: max(d["bytes"], SMALL).bit_length() // (STEP.bit_length() - 1)
         k = 0
         while len(deltas) >= TIER and len({tier(d) for d in deltas[-TIER:]}) == 1:
             merged = self._latest(name, deltas[-TIER:]).select(*schema.fieldNames(), F.lit(0).alias("_at"), "_gone")
-            path, k = f"{new}/{name}-merged-{k}", k + 1
+            path, k = f"{new}/{name}/merged-{k}", k + 1
             merged.write.parquet(f"{self.base}/{path}")
             deltas = [*deltas[:-TIER], {"path": path, "bytes": self._bytes(path)}]
         if sum(d["bytes"] for d in deltas) >= max(self._bytes(entry["base"]), TIER * SMALL):
-            return self._whole(self._table(name, {"base": entry["base"], "deltas": deltas}), f"{new}/{name}-base")
+            return self._whole(self._table(name, {"base": entry["base"], "deltas": deltas}), f"{new}/{name}/base")
         return {"base": entry["base"], "deltas": deltas}
 
     def _changed_vectors(self, log: list[Change], m: dict, new: str) -> tuple[list[dict], list[dict]]:
@@ -242,17 +242,17 @@ class RegistryStore:
         frames += [self._counts_of(read(d, _BITMAPS), "n_vectors", -1, F.bitmap_count("bits")) for d in deletions if d not in old["deletions"]]
         if not frames:
             return old["counts"]
-        _union(frames).write.parquet(f"{self.base}/{new}/counts")
-        paths = [*old["counts"], f"{new}/counts"]
+        _union(frames).write.parquet(f"{self.base}/{new}/embeddings/counts")
+        paths = [*old["counts"], f"{new}/embeddings/counts"]
         if len(paths) > 2 * TIER:
-            self._summed(paths).write.parquet(f"{self.base}/{new}/counts-merged")
-            paths = [f"{new}/counts-merged"]
+            self._summed(paths).write.parquet(f"{self.base}/{new}/embeddings/counts-merged")
+            paths = [f"{new}/embeddings/counts-merged"]
         return paths
 
     def _all_counts(self, tables: dict, parts: list[dict], deletions: list[dict], new: str) -> list[str]:
         members, vectors = self._table("embeddings", tables["embeddings"]), self._vectors({"vectors": parts, "deletions": deletions})
-        self._counts_of(members, "n_documents").unionByName(self._counts_of(vectors, "n_vectors")).write.parquet(f"{self.base}/{new}/counts")
-        return [f"{new}/counts"]
+        self._counts_of(members, "n_documents").unionByName(self._counts_of(vectors, "n_vectors")).write.parquet(f"{self.base}/{new}/embeddings/counts")
+        return [f"{new}/embeddings/counts"]
 
     def _compacted(self, parts: list[dict], deletions: list[dict], new: str) -> tuple[list[dict], list[dict]]:
         names = StructType.fromDDL(SCHEMAS["vectors"]).fieldNames()
@@ -284,7 +284,7 @@ class RegistryStore:
             elif before is not None and r.origin is before and log and log[-1].after is getattr(r, name):
                 tables[name] = self._appended(name, old["tables"][name], log, new)
             else:
-                tables[name] = self._whole(getattr(r, name), f"{new}/{name}")
+                tables[name] = self._whole(getattr(r, name), f"{new}/{name}/base")
                 whole = whole or name == "embeddings"
         log = [c for c in r.changes if c.table == "vectors"]
         if before is not None and r.vectors is before.vectors:
@@ -306,9 +306,10 @@ class RegistryStore:
         if number is None:
             raise NotFound(self.base)
         m, r = self.manifest(number), self.load()
-        tables = {name: self._whole(getattr(r, name), f"{new}/{name}-base") if entry["deltas"] else entry for name, entry in m["tables"].items()}
+        tables = {name: self._whole(getattr(r, name), f"{new}/{name}/base") if entry["deltas"] else entry for name, entry in m["tables"].items()}
         vectors = m["vectors"] if len(m["vectors"]) == 1 and not m["deletions"] else [self._counted(r.vectors, f"{new}/vectors-whole", "collection_id")]
-        self._publish(number + 1, {**m, "tables": tables, "vectors": vectors, "deletions": []})
+        self._summed(m["counts"]).write.parquet(f"{self.base}/{new}/embeddings/counts-merged")
+        self._publish(number + 1, {**m, "tables": tables, "vectors": vectors, "deletions": [], "counts": [f"{new}/embeddings/counts-merged"]})
         return self.load()
 
     def _publish(self, number: int, manifest: dict) -> None:
