@@ -156,11 +156,17 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     return run
 
 
+#: What a worker forgets when a task ends, as it lives on for tasks that don't need it.
+forget: list[Callable[[], object]] = []
+
+
 def give_back() -> None:
-    """Memory that this process has freed goes back to the system."""
+    """Memory that this process has freed, or need not keep, goes back to the system."""
     import ctypes
     import gc
 
+    for drop in forget:
+        drop()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -180,6 +186,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+forget.append(lambda: _powers.update({name: row[:1].copy() for name, row in _powers.items()}))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of an odd base and of its inverse modulo 2**64."""
     if len(_powers["up"]) < n:

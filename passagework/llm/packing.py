@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, materialize
+from .common import forget, lean, materialize
 
 #: Rows (part, length) of the table of first ranks up to which it is broadcast: 64 MB at 16 bytes each.
 BROADCAST_ROWS = 1 << 22
@@ -180,6 +180,9 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
+forget += [_encoders.clear, _library.cache_clear]
+
+
 def encoder(path: str):
     """texts -> lists of ids, as the tokenizers library gives them for this file with add_special_tokens=False.
 

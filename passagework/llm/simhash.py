@@ -411,7 +411,8 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
     share = max(1, docs.count() // SAMPLE)
     sample = docs.where(F.pmod("key", F.lit(share)) == 0).select("text").mapInArrow(lean(run), "h long")
-    often = sample.groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.col("count").desc(), "h").limit(OFTEN).select("h").toArrow()
+    counted = materialize(sample.groupBy("h").count().where(F.col("count") >= FREQUENT), "frequent")
+    often = counted.orderBy(F.col("count").desc(), "h").limit(OFTEN).select("h").toArrow()
     return np.sort(often["h"].to_numpy().view(np.uint64))
 
 
