@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, lean, materialize, prefix_sums, span_hash, text_or_empty, words
+from .common import LOWER, is_in, lean, materialize, prefix_sums, span_hash, text_or_empty, words
 from .components import components
 from .minhash import shingle_hashes
 
@@ -308,8 +308,9 @@ def near_duplicates(df: DataFrame, tau: int = 2, size: int = 3, id_col: str = "d
 
 #: Of near duplicates: differing bits of word-set fingerprints, words of a shingle, shingles of a block's documents (16 MB).
 WORD_TAU, WORDS, BLOCK = 2, 5, 1 << 21
-#: Documents of the sample that orders shingles, occurrences in it that make one frequent, and frequent ones at most.
-SAMPLE, FREQUENT, OFTEN = 20_000, 16, 1 << 18
+#: Documents of the sample that orders shingles, at least: it grows with the table, so that shingles of more than HOT documents
+#: are found; occurrences in it that make one frequent, and frequent ones at most.
+SAMPLE, FREQUENT, OFTEN = 20_000, 16, 1 << 20
 #: Bits of a set's parities, those of sets over LONG shingles, for which they would say little, and LONG.
 PARITIES, MORE, LONG = 1024, 8192, 1200
 
@@ -338,7 +339,7 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, last: np.ndarray | None = None
     """The different shingle hashes of each row, ascending, those in `last` after the others, and their offsets by row."""
     h, offsets = shingle_hashes(raw, at, WORDS)
     row = np.repeat(np.arange(len(at) - 1), np.diff(offsets))
-    late = np.zeros(len(h), bool) if last is None else np.isin(h, last)
+    late = np.zeros(len(h), bool) if last is None else is_in(h, last)
     order = np.lexsort((h, late, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
@@ -399,8 +400,9 @@ class Marks:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that occur in FREQUENT or more of about SAMPLE documents, however many there are, the OFTEN most frequent at
-    most: 2 MB, which every task gets. They only decide in which order shingles are looked at."""
+    """Shingles that occur in FREQUENT or more of the sampled documents, the OFTEN most frequent at most: 8 MB, which every task
+    gets. They only decide in which order shingles are looked at. The sample has SAMPLE documents, and one of HOT / FREQUENT of a
+    larger table: what it doesn't call frequent is in HOT documents or fewer, about, however large the table is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import pieces
@@ -409,7 +411,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
             for _, raw, at in pieces(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(raw, at)[0].view(np.int64))], ["h"])
 
-    share = max(1, docs.count() // SAMPLE)
+    share = max(1, min(docs.count() // SAMPLE, HOT // FREQUENT))
     sample = docs.where(F.pmod("key", F.lit(share)) == 0).select("text").mapInArrow(lean(run), "h long")
     counted = materialize(sample.groupBy("h").count().where(F.col("count") >= FREQUENT), "frequent")
     often = counted.orderBy(F.col("count").desc(), "h").limit(OFTEN).select("h").toArrow()
