@@ -42,3 +42,12 @@ def test_rows_keep_their_order_and_nulls(spark, n):
     df = spark.createDataFrame(rows, "i int, t string").coalesce(1)
     got = df.select("i", chunking.snapping(F.col("t"), Snapping(1000, 1)).alias("a"), in_slices(F.col("t"), lambda x: [t and t[:5] for t in x], "string", pa.string()).alias("b")).orderBy("i").collect()
     assert [(r.a, r.b) for r in got] == [(None, None) if t is None else (chunking.snap(t, Snapping(1000, 1)), t[:5]) for _, t in rows]
+
+
+def test_a_cosine_at_the_threshold_joins_as_in_sql():
+    """0.5 but for rounding: the SQL rounds cosines to 12 decimals."""
+    under = np.array([[1.0, 0.0], [np.nextafter(0.5, 0), np.sqrt(0.75)]])
+    assert chunking.similarities("cosine", under[:1], under[1])[0] < 0.5
+    assert chunking.cluster(["a. ", "b."], under, Semantic(threshold=0.5)) == ["a. b."]
+    far = np.array([[1.0, 0.0], [0.5 - 1e-9, np.sqrt(0.75)]])
+    assert chunking.cluster(["a. ", "b."], far, Semantic(threshold=0.5)) == ["a. ", "b."]
