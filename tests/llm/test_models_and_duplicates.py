@@ -449,3 +449,33 @@ def test_accuracy_on_held_out_rows(spark):
 
 def test_best_cut():
     assert toxicity.best_cut(np.array([3.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 0]), np.ones(4)) == 1.5
+
+
+def test_every_labelled_row_trains_or_calibrates(spark, monkeypatch):
+    """Rows dealt over parts: all of them are trained on, with a result as good, whichever tasks read them."""
+    rows = toxic_rows(700)
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    one_round = toxicity._round
+    monkeypatch.setattr(toxicity, "_round", lambda some, parts, *rest: (seen.append((some.count(), parts)), one_round(some, parts, *rest)))
+    monkeypatch.setattr(toxicity, "cuts", lambda judged, f=toxicity.cuts: (seen.append((judged.count(), 0)), f(judged))[1])
+    models = [toxicity.fit(spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(n), labels) for n in (1, 5)]
+    assert seen[0][1] == 7 and seen[0][0] + seen[5][0] == len(rows) and len(seen) == 12
+    assert (models[0].table == models[1].table).all() and models[0].offset == models[1].offset and models[0].thresholds == models[1].thresholds
+    for label in (0, 1):
+        z = [models[0].scores(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for _, t, _, y in rows if y == label]
+        assert np.mean((np.array(z) >= 0.5) == label) > 0.95
+
+
+def test_cuts_are_the_best_of_all_rows(spark):
+    r = np.random.default_rng(3)
+    y = r.integers(0, 2, 600)
+    logit = np.round(r.normal(2 * y - 1, 1), 2)
+    lang = np.array(["en", "de", "", None], object)[r.choice(4, 600, p=[0.5, 0.4, 0.05, 0.05])]
+    lang[:20] = "few"
+    got = toxicity.cuts(spark.createDataFrame([(x, int(a), float(z)) for x, a, z in zip(lang, y, logit, strict=True)], "lang string, y int, logit double").repartition(5))
+    assert set(got) == {None, "en", "de"}
+    for name, cut in got.items():
+        own = np.ones(600, bool) if name is None else lang == name
+        assert cut == toxicity.best_cut(logit[own], y[own], np.ones(own.sum()))
