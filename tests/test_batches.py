@@ -51,3 +51,16 @@ def test_a_cosine_at_the_threshold_joins_as_in_sql():
     assert chunking.cluster(["a. ", "b."], under, Semantic(threshold=0.5)) == ["a. b."]
     far = np.array([[1.0, 0.0], [0.5 - 1e-9, np.sqrt(0.75)]])
     assert chunking.cluster(["a. ", "b."], far, Semantic(threshold=0.5)) == ["a. ", "b."]
+
+
+def test_results_go_out_slice_by_slice():
+    """None is kept until its batch ends; a batch without rows gives none."""
+    from passagework.functions import batches
+
+    seen = []
+    texts = pa.array(["a" * batches.SLICE, None, "b" * batches.SLICE, "c"])
+    out = batches.by_slices(iter([pa.array([], pa.string()), texts]), lambda x: seen.append(len(x)) or [[t or ""] for t in x], pa.list_(pa.string()))
+    first = next(out)
+    assert len(seen) == 1 and len(first) == seen[0] < len(texts)
+    rest = list(out)
+    assert pa.concat_arrays([first, *rest]).to_pylist() == [[t or ""] for t in texts.to_pylist()]
