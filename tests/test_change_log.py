@@ -216,6 +216,23 @@ def test_memberships_as_keyed_state(spark, tmp_path):
     assert got == want
 
 
+def test_keyed_state_has_a_bounded_number_of_keys(spark, tmp_path, monkeypatch):
+    """Many pairs share few keys, nulls among them, each with its own state and memberships to begin with."""
+    monkeypatch.setattr(membership, "BUCKETS", 3)
+    (tmp_path / "log").mkdir()
+    start = spark.createDataFrame([("c0", f"d{k}") for k in range(0, 40, 2)], "collection_id string, document_id string")
+    names = [f"d{k}" for k in range(40)] + [None]
+    for wave in range(2):
+        rows = [{"number": 100 * wave + k, "job_id": "j", "collection_id": "c0", "document_id": d, "action": "remove" if wave else "add"} for k, d in enumerate(names)]
+        (tmp_path / "log" / f"{wave}.json").write_text("\n".join(map(json.dumps, rows)))
+        query = membership.start(spark, f"file://{tmp_path}/log", f"file://{tmp_path}/checkpoint", f"file://{tmp_path}/out", start, once=True)
+        query.awaitTermination(120)
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    got = {(x.number, x.kind, x.document_id, x.error) for x in spark.read.schema(membership.RESULT).parquet(f"file://{tmp_path}/out").collect()}
+    first = {(k, "addition", d, "already exists" if k < 40 and k % 2 == 0 else None) for k, d in enumerate(names)}
+    assert got == first | {(100 + k, "removal", d, None) for k, d in enumerate(names)}
+
+
 @pytest.mark.parametrize("name", ["cosine", "euclidean"])
 @pytest.mark.parametrize("rows", [1024, 7])
 def test_pruned_search_is_exact(spark, tmp_path, name, rows, monkeypatch):
