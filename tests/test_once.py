@@ -8,7 +8,9 @@ import re
 from pyspark.sql import functions as F
 
 from passagework.functions.text import WHITE_SPACE, lines, unicode_trim
+from passagework.operators.search import top_k
 from passagework.plans.catalog import QUERIES
+from passagework.sources.embedders import HashingEmbedder, embedding
 
 
 def test_pages_are_split_once(spark, tmp_path):
@@ -27,3 +29,15 @@ def test_lines_and_trim_follow_their_patterns(spark):
     padded = [f"{a}x {b}y{a}" for a in [*WHITE_SPACE, WHITE_SPACE, "", "\x1c", "​", "᠎", "é", "😀"] for b in (" ", "　\n", "")] + [WHITE_SPACE, ""]
     got = spark.createDataFrame([(t,) for t in padded], "t string").select(unicode_trim(F.col("t"))).collect()
     assert [r[0] for r in got] == [t.strip(WHITE_SPACE) for t in padded]
+
+
+def test_search_embeds_once(spark):
+    docs = spark.createDataFrame([(k, f"word{k} same") for k in range(6)] + [(6, ""), (7, None)], "vec_id long, text string")
+    e = HashingEmbedder()
+    vectors = docs.select("vec_id", embedding(F.col("text"), e).alias("embedding"))
+    for ascending in (False, True):
+        found = top_k(vectors, list(e.embed(["word3 same"])[0]), 10, ascending=ascending)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        rows = found.collect()
+        assert {r.vec_id for r in rows} == set(range(6)) and rows[-1 if ascending else 0].vec_id == 3
+        assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=not ascending)
