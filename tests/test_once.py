@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 
 from pyspark.sql import functions as F
 
 from passagework.functions.text import WHITE_SPACE, lines, unicode_trim
+from passagework.operators import pivots
 from passagework.operators.search import top_k
 from passagework.plans.catalog import QUERIES
 from passagework.sources.embedders import HashingEmbedder, embedding
@@ -41,3 +43,20 @@ def test_search_embeds_once(spark):
         rows = found.collect()
         assert {r.vec_id for r in rows} == set(range(6)) and rows[-1 if ascending else 0].vec_id == 3
         assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=not ascending)
+
+
+def test_pruned_search_packs_queries(spark, tmp_path):
+    """Queries meet a shard in packed blocks, not as a list of rows; copies and repeated ids beside the query's own."""
+    rows = [(k % 300, [float(k % 7), float(k % 3)]) for k in range(1500)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.where("vec_id % 50 = 0").dropDuplicates(["vec_id", "embedding"]).withColumnRenamed("vec_id", "query_id")
+    found = pivots.search(pivots.build(v, f"file://{tmp_path}/index", "euclidean"), asked, 4, skip_own=True)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got: dict = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((round(r.score, 9), r.vec_id))
+    want: dict = {}
+    for q in asked.collect():
+        gaps = sorted((round(math.dist(q.embedding, x), 9), i) for i, x in rows if i != q.query_id)
+        want.setdefault(q.query_id, []).append(gaps[:4])
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(sum(x, [])) for q, x in want.items()}
