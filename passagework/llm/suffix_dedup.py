@@ -8,11 +8,11 @@ are summed up, with their number as weight, before they are shuffled by anchor.
 of them at a time, are merged; the blocks of the merged order that have `length` symbols in common are the repeated
 strings.
 
-An anchor with more than HOT different stretches is split, by how far before the anchor a window starts: the windows that
-start in the nearer half of the distances share the anchor with more bytes after it, those in the farther half with more
-bytes before it, and these longer grams are the new anchors. Each half is shorter, so stretches become equal and are summed
+An anchor with more than HOT different stretches is split, by how far before the anchor a window starts, into PARTS ranges of
+distances: the windows that start in a near range share the anchor with more bytes after it, those in a far one with more
+bytes before it, and these longer grams are the new anchors. Each part is shorter, so stretches become equal and are summed
 up, or fall apart by their surroundings. What stays hot is split again; when one distance is left an anchor is a whole
-window, its stretches are all equal, and the splitting has ended: after 8 rounds at most, whatever the numbers.
+window, its stretches are all equal, and the splitting has ended: after 4 rounds at most, whatever the numbers.
 
 Defined results: a null text counts as empty; texts shorter than a window lose nothing; matches never cross documents;
 strings are judged on the input; rows with equal ids and texts are copies of each other and each lose what repeats;
@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Q, repeated_starts
-from .common import lean, materialize, mix, pieces, powers, prefix_sums, span_hash, text_or_empty
+from .common import discard, lean, materialize, mix, pieces, powers, prefix_sums, span_hash, text_or_empty
 
 LENGTH, GRAM = 200, 50
 #: Different stretches of an anchor that one merge takes, and symbols of a merge.
 HOT, MERGE_SYMBOLS = 2048, 60_000
+#: Ranges of distances that an anchor with more stretches is split into.
+PARTS = 4
 _SEGMENT = 1 << 23
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -82,13 +84,13 @@ def stretches(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, text) -> (doc_id, key, anchor)."""
+    """(doc_id, key, text) -> (doc_id, key, anchors): one for each stretch."""
     for batch in batches:
         for part, raw, at in pieces(batch, "text"):
             row, _, _, anchor, _, _ = stretches(raw, at, length)
-            if len(row):
-                rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(anchor.view(np.int64))], ["doc_id", "key", "anchor"])
+            edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(anchor.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "key", "anchors"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,8 @@ _FOUND = pa.schema([("anchor", pa.int64()), ("own", pa.int64()), ("starts", pa.l
 
 
 def _merge_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, own, stretch, weight) sorted by anchor, HOT of each at most -> covered runs of each stretch that has any."""
+    """(anchor, own, stretch, weight) sorted by anchor, HOT of each at most -> covered runs of each stretch that has any. A
+    stretch that stands alone has nothing to be merged with: its weight tells whether all of it repeats."""
     group: list[tuple] = []
     waiting: list[tuple] = []
     size, out = 0, []
@@ -149,7 +152,10 @@ def _merge_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 
     def close() -> None:
         nonlocal size
-        if len(group) > 1 or group and group[0][3] > 1:
+        if len(group) == 1 and group[0][3] > 1:
+            anchor, own, text, _ = group[0]
+            out.append((anchor, own, [0], [len(text)]))
+        elif len(group) > 1:
             own = sum(len(r[2]) + 1 for r in group)
             if size + own > MERGE_SYMBOLS:
                 solve()
@@ -180,25 +186,26 @@ def _hash(*parts: bytes) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-_HALF = ["old_anchor", "old_own", "weight", "shift", "anchor", "own", "rel", "near", "far", "stretch"]
+_PART = ["old_anchor", "old_own", "weight", "shift", "anchor", "own", "rel", "near", "far", "stretch"]
 
 
-def _halved(batches: Iterator[pa.RecordBatch], length: int, gram: int = GRAM) -> Iterator[pa.RecordBatch]:
+def _parted(batches: Iterator[pa.RecordBatch], length: int, gram: int = GRAM) -> Iterator[pa.RecordBatch]:
     """Stretches (anchor, own, weight, rel, near, far, stretch) of windows that start near to far bytes before the anchor, which
-    is at rel -> those of either half of these distances, `shift` further on, under the longer anchors that its windows share."""
+    is at rel -> those of each of PARTS ranges of these distances, `shift` further on, under the longer anchors that its windows
+    share."""
     whole = length - gram
     for batch in batches:
         out = []
         for anchor, own, weight, rel, near, far, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            middle = (near + far + 1) // 2
-            for lo, hi in ((near, middle - 1), (middle, far)):
+            edges = [near + (far + 1 - near) * k // PARTS for k in range(PARTS + 1)]
+            for lo, hi in ((i, j - 1) for i, j in zip(edges[:-1], edges[1:], strict=True)):
                 first, last = max(0, rel - hi), min(len(text) - length, rel - lo)
                 if lo <= hi and first <= last:
                     part, shared = text[first : last + length], text[rel - lo : rel + gram + whole - hi]
                     out.append((anchor, own, weight, first, _hash(b"%d %d " % (lo, hi), shared), _hash(part), rel - first, lo, hi, part))
         if out:
             kinds = [pa.int64()] * 6 + [pa.int32()] * 3 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], _HALF)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], _PART)
 
 
 def _hot(rows: DataFrame) -> DataFrame:
@@ -221,10 +228,12 @@ def find_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
         raise ValueError(f"length must be a multiple of {Q} and at least {2 * GRAM}")
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("key"), text_or_empty(text).alias("text")).where(F.octet_length("text") >= length)
-    anchors = docs.mapInArrow(lean(lambda b: _anchors(b, length)), f"doc_id {kind}, key long, anchor long")
-    often = materialize(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    lists = materialize(docs.mapInArrow(lean(lambda b: _anchors(b, length)), f"doc_id {kind}, key long, anchors array<bigint>"), "lists")
+    anchors = lists.select("doc_id", "key", F.explode("anchors").alias("anchor"))
+    often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     wanted = anchors.join(often, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors"))  # as many as a text has
     wanted = materialize(wanted.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key"), "anchors"), "wanted")
+    discard(lists)
     met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).select("doc_id", "key", "text", "anchors")
     cut = materialize(met.mapInArrow(lean(lambda b: _cut_out(b, length)), f"doc_id {kind}, key long, first long, anchor long, own long, rel int, stretch binary"), "stretches")
     places = cut.select("doc_id", "key", "first", "anchor", "own")
@@ -242,7 +251,7 @@ def find_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
             break
         parts = rows.join(hot, F.col("anchor") == F.col("h_anchor"), "left_semi").groupBy("anchor", "own").agg(F.sum("weight").alias("weight"), *of_group)
         names = ["anchor", "own", "weight", "rel", "near", "far", "stretch"]
-        rows = materialize(parts.select(names).mapInArrow(lean(lambda b: _halved(b, length)), "old_anchor long, old_own long, weight long, shift long, anchor long, own long, rel int, near int, far int, stretch binary"), "halves")
+        rows = materialize(parts.select(names).mapInArrow(lean(lambda b: _parted(b, length)), "old_anchor long, old_own long, weight long, shift long, anchor long, own long, rel int, near int, far int, stretch binary"), "parts")
         moves = rows.select("old_anchor", "old_own", "shift", F.col("anchor").alias("n_anchor"), F.col("own").alias("n_own"))
         moved = places.join(moves, (F.col("anchor") == F.col("old_anchor")) & (F.col("own") == F.col("old_own")))
         places = materialize(moved.select("doc_id", "key", (F.col("first") + F.col("shift")).alias("first"), F.col("n_anchor").alias("anchor"), F.col("n_own").alias("own")), "places")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import awkward_texts  # noqa: F401
 from pyspark.sql import functions as F
@@ -111,3 +112,24 @@ def test_thousands_of_documents_around_one_passage(spark, size):
         at = x.text.index("<")
         reach = max((k for k in range(1, 9) if before[x.text[max(0, at - 40) : at][-k:]] > 1), default=0)
         assert x._spans[0].start >= at - reach if reach < 8 else True
+
+
+def test_lone_strings_are_not_merged_and_splitting_ends_after_four_rounds(monkeypatch):
+    """A string that only equals itself was taken through a merge; anchors were split in halves, 8 times."""
+
+    def never(*_):
+        raise AssertionError("merged")
+
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", never)
+    schema = ["anchor", "own", "stretch", "weight"]
+    rows = pa.RecordBatch.from_pylist([{"anchor": k, "own": k, "stretch": b"x" * (200 + k), "weight": w} for k, w in enumerate((1, 2, 5, 1))]).select(schema)
+    found = [r for b in suffix_dedup._merge_groups(iter([rows]), 200) for r in b.to_pylist()]
+    assert found == [{"anchor": 1, "own": 1, "starts": [0], "ends": [201]}, {"anchor": 2, "own": 2, "starts": [0], "ends": [202]}]
+
+    text = bytes(random.Random(5).randrange(97, 123) for _ in range(350))
+    now = [(0, 0, 1, 150, 0, 150, text)]
+    for _ in range(4):
+        names = ["anchor", "own", "weight", "rel", "near", "far", "stretch"]
+        batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in now]).select(names)
+        now = [tuple(r[c] for c in names) for b in suffix_dedup._parted(iter([batch]), 200) for r in b.to_pylist()]
+    assert sorted(r[-1] for r in now) == sorted(text[i : i + 200] for i in range(151))

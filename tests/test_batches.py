@@ -64,3 +64,11 @@ def test_results_go_out_slice_by_slice():
     assert len(seen) == 1 and len(first) == seen[0] < len(texts)
     rest = list(out)
     assert pa.concat_arrays([first, *rest]).to_pylist() == [[t or ""] for t in texts.to_pylist()]
+
+
+def test_garbage_is_not_sought_among_modules_after_each_task():
+    import gc
+
+    from passagework.llm.common import lean
+
+    assert list(lean(iter)(iter([1]))) == [1] and gc.get_freeze_count() > 1000
