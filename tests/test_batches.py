@@ -72,3 +72,15 @@ def test_garbage_is_not_sought_among_modules_after_each_task():
     from passagework.llm.common import lean
 
     assert list(lean(iter)(iter([1]))) == [1] and gc.get_freeze_count() > 1000
+
+
+def test_near_duplicates_take_text_apart_in_small_slices():
+    """A megabyte of text was hashed and sorted at once in each worker."""
+    from passagework.llm import simhash
+
+    texts = [" ".join(f"w{k}-{i}" for i in range(20_000)) for k in range(4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["key", "text"])
+    out = list(simhash._prefixes(iter([batch]), np.zeros(0, np.uint64)))
+    assert len(out) == 4 and sorted({k for b in out for k in b.column(1).to_pylist()}) == [0, 1, 2, 3]
+    both = pa.RecordBatch.from_arrays([pa.array(range(4)), *batch.columns], ["doc_id", "key", "text"])
+    assert [b.num_rows for b in simhash._marks(iter([both]))] == [1] * 4
