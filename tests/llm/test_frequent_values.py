@@ -60,3 +60,12 @@ def test_shingles_of_more_than_hot_documents_are_looked_at_last_at_any_size(spar
 def test_is_in(some):
     values, some = np.array([9, 0, 5, 2**63], np.uint64), np.array(some, np.uint64)
     assert is_in(values, some).tolist() == np.isin(values, some).tolist()
+
+
+def test_lists_and_retained_values_go_when_used_up(spark, monkeypatch):
+    """They stayed on disk to the end."""
+    gone, discard = [], bottomk.discard
+    monkeypatch.setattr(bottomk, "discard", lambda t: (gone.append(set(t.columns)), discard(t)))
+    df = spark.createDataFrame([(k, f"one two three four {k % 3}") for k in range(6)], "doc_id long, text string")
+    assert {r.component_id for r in bottomk.near_duplicates(df).collect()} == {0, 1, 2}
+    assert {"v", "key"} in gone and {"key", "n", "low", "retained", "rep"} in gone
