@@ -319,3 +319,25 @@ def test_sql_similarities_are_the_native_ones(spark):
         assert [r.x is None for r in got] == [r.y is None for r in got] and all(r.x is None or abs(r.x - r.y) < 1e-12 for r in got), name
     four = spark.sql("SELECT vector_similarity('minkowski', array(1D, 2D), array(3D, 5D), 4) AS v").first().v
     assert abs(four - (2**4 + 3**4) ** 0.25) < 1e-12
+
+
+@pytest.mark.parametrize("name", ["cosine"])
+def test_pruned_search_broadcasts_no_queries(spark, tmp_path, name, monkeypatch):
+    """Packed queries, a copy for each cluster, were broadcast through the driver, as Spark took them for small. Clusters in groups,
+    some over a group's rows, give what scoring everything gives."""
+    monkeypatch.setattr(pivots, "SHARD_ROWS", 16)
+    monkeypatch.setattr(pivots, "GROUP_ROWS", 40, raising=False)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(500, 4))
+    v[:150] = v[0] + rng.normal(size=(150, 4)) * 1e-3
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = pivots.search(pivots.build(df, f"file://{tmp_path}/index", name), df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 5)
+    got: dict = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    for q, ids in got.items():
+        score = -(unit @ unit[q]) if name == "cosine" else np.linalg.norm(v - v[q], axis=1)
+        assert ids == np.argsort(score, kind="stable")[:5].tolist()
+    assert len(got) == 25
