@@ -69,3 +69,17 @@ def test_lists_and_retained_values_go_when_used_up(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"one two three four {k % 3}") for k in range(6)], "doc_id long, text string")
     assert {r.component_id for r in bottomk.near_duplicates(df).collect()} == {0, 1, 2}
     assert {"v", "key"} in gone and {"key", "n", "low", "retained", "rep"} in gone
+
+
+def _half_common(n: int = 60) -> list[str]:
+    """Texts that have nothing in common but runs of short words."""
+    r = np.random.default_rng(8)
+    return [" ".join([*r.choice(["a", "of", "to", "in"], 40), *(f"{r.integers(10**9)}longer" for _ in range(40))]) for _ in range(n)]
+
+
+def test_lists_of_unlike_texts_do_not_grow_with_the_table(spark):
+    """Values were retained in the order of hashes: texts met by each run of short words, the more the larger the table."""
+    rule = bottomk.Rule(3, 85, 100)
+    df = spark.createDataFrame(list(enumerate(_half_common())), "doc_id long, text string")
+    marks = df.mapInArrow(bottomk._marks(rule, np.zeros(0, np.uint64)), "doc_id long, key long, n long, low binary, retained array<bigint>")
+    assert bottomk.met_lists(bottomk.materialize(marks, "classes"), rule).count() == 0
