@@ -83,3 +83,15 @@ def test_lists_of_unlike_texts_do_not_grow_with_the_table(spark):
     df = spark.createDataFrame(list(enumerate(_half_common())), "doc_id long, text string")
     marks = df.mapInArrow(bottomk._marks(rule, np.zeros(0, np.uint64)), "doc_id long, key long, n long, low binary, retained array<bigint>")
     assert bottomk.met_lists(bottomk.materialize(marks, "classes"), rule).count() == 0
+
+
+def test_the_sample_decides_an_order_alone(spark, monkeypatch):
+    """Whatever the sample calls frequent, all documents are compared and the links are the same."""
+    texts = [" ".join(f"{w}{k // 3}" for w in PASSAGE.split()) + f" {PASSAGE}" + (" more" if k % 3 == 1 else "") for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for share, frequent in ((1, 2), (1, 1000), (7, 1), (10**9, 1)):
+        monkeypatch.setattr(bottomk, "sampled", lambda n, s=share: s)
+        monkeypatch.setattr(bottomk, "FREQUENT", frequent)
+        found.append(sorted((r.doc_id, r.component_id) for r in bottomk.near_duplicates(df).collect()))
+    assert found == [[(k, k - k % 3) for k in range(30)]] * 4
