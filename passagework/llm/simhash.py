@@ -41,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, is_in, lean, materialize, prefix_sums, span_hash, text_or_empty, words
+from .common import LOWER, is_in, lean, marked, materialize, prefix_sums, span_hash, text_or_empty, words
 from .components import components
-from .minhash import shingle_hashes
+from .minhash import sized_shingles
 
 BITS, HOT = 64, 256
 
@@ -338,8 +338,10 @@ def _word_sets(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The different shingle hashes of each row, ascending, those in `last` after the others, and their offsets by row."""
-    h, offsets = shingle_hashes(raw, at, WORDS)
+    """The different shingle hashes of each row, ascending, those in `last` after the others, and their offsets by row. The high 6
+    bits are by the shingle's length, so that long ones, of which few texts that aren't alike share one, come first."""
+    h, offsets, long = sized_shingles(raw, at, WORDS)
+    h = (np.uint64(63) - long) << np.uint64(58) | h >> np.uint64(6)
     row = np.repeat(np.arange(len(at) - 1), np.diff(offsets))
     late = np.zeros(len(h), bool) if last is None else is_in(h, last)
     order = np.lexsort((h, late, row))
@@ -643,7 +645,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     rooted = texts.join(family, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), F.col("key").alias("m_key"), "n", "bits", "more", F.col("first.id").alias("m_id"))
     sizes = rooted.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum(F.col("n") + 1) / BLOCK).alias("blocks"), F.min(F.struct("n", "m_key"))["m_key"].alias("pivot")).where("members > 1")
     members = materialize(rooted.join(sizes, F.col("root") == F.col("r")).select("root", "pivot", "blocks", "m_key", "m_id", "bits", "more"), "members")
-    own = docs.join(members, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).dropDuplicates(["key"]).select("root", "pivot", "blocks", "key", "bits", "more", "text")
+    own = marked(docs, F.col("key"), members, F.col("m_key"))[0].join(members, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).dropDuplicates(["key"]).select("root", "pivot", "blocks", "key", "bits", "more", "text")
     sets = materialize(own.mapInArrow(lean(_sets), "root long, pivot long, blocks long, key long, bits binary, more binary, n long, shingles binary"), "sets")
     found = components(_verified_links(sets))
     named = texts.select("key", "first").join(found, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("g"))
@@ -655,11 +657,14 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, all columns, of which each is the keeper of its group; of equal rows one."""
     found = groups(df, id_col, text).groupBy("doc_id", "key", "keeper").agg(F.count(F.lit(1)).alias("n"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("key") == F.col("keeper.key"))).select(F.col("doc_id").alias("_k_id"), F.col("key").alias("_k_key"), F.col("n").alias("_k_n"))
-    kept = materialize(kept, "keepers")
-    on = F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.xxhash64(text_or_empty(text)) == F.col("_k_key"))
-    rows = df.join(kept, on)
-    once = rows.where("_k_n = 1").drop("_k_id", "_k_key", "_k_n")
+    stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("key") == F.col("keeper.key"))
+    found = materialize(found.select(F.col("doc_id").alias("_k_id"), F.col("key").alias("_k_key"), F.col("n").alias("_k_n"), stays.alias("stays")), "keepers")
+    kept = found.where("stays").drop("stays")
+    key = F.xxhash64(text_or_empty(text))
+    # most rows are kept and stand once: those that surely do aren't shuffled
+    asked, sure = marked(df, F.xxhash64(F.col(id_col), key), found.where("not stays or _k_n > 1"), F.xxhash64("_k_id", "_k_key"))
+    rows = asked.join(kept, F.col(id_col).eqNullSafe(F.col("_k_id")) & (key == F.col("_k_key")))
+    once = sure.unionByName(rows.where("_k_n = 1").drop("_k_id", "_k_key", "_k_n"))
     if kept.where("_k_n > 1").isEmpty():
         return once
     return once.unionByName(rows.where("_k_n > 1").dropDuplicates(["_k_id", "_k_key"]).drop("_k_id", "_k_key", "_k_n"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagework.llm import bottomk, simhash
+from passagework.llm import bottomk, common, simhash
 from passagework.llm.common import is_in
 
 PASSAGE = "all of these documents hold this very same passage besides their own words so that many lists meet where nothing else of any two texts is alike"
@@ -85,6 +85,15 @@ def test_lists_of_unlike_texts_do_not_grow_with_the_table(spark):
     assert bottomk.met_lists(bottomk.materialize(marks, "classes"), rule).count() == 0
 
 
+def test_prefixes_of_unlike_texts_do_not_meet():
+    import pyarrow as pa
+
+    texts = _half_common()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["key", "text"])
+    found = [x for out in simhash._prefixes(iter([batch]), np.zeros(0, np.uint64)) for x in out.column(0).to_pylist()]
+    assert len(found) == len(set(found)) > 0
+
+
 def test_the_sample_decides_an_order_alone(spark, monkeypatch):
     """Whatever the sample calls frequent, all documents are compared and the links are the same."""
     texts = [" ".join(f"{w}{k // 3}" for w in PASSAGE.split()) + f" {PASSAGE}" + (" more" if k % 3 == 1 else "") for k in range(30)]
@@ -95,3 +104,16 @@ def test_the_sample_decides_an_order_alone(spark, monkeypatch):
         monkeypatch.setattr(bottomk, "FREQUENT", frequent)
         found.append(sorted((r.doc_id, r.component_id) for r in bottomk.near_duplicates(df).collect()))
     assert found == [[(k, k - k % 3) for k in range(30)]] * 4
+
+
+def test_texts_that_no_join_needs_are_told_before_it(spark):
+    """All texts were shuffled and sorted to meet a few ids; a row goes to one side, and none whose key is there is missed."""
+    rows = spark.range(5000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("id"), F.lit("text").alias("text"))
+    some = spark.createDataFrame([(k,) for k in range(0, 5000, 50)] + [(None,)], "k long")
+    may, other = common.marked(rows, F.xxhash64("id"), some, F.xxhash64("k"))
+    wanted = [r.id for r in rows.collect() if r.id is None or r.id % 50 == 0]
+    got, rest = [r.id for r in may.collect()], [r.id for r in other.collect()]
+    assert sorted(map(str, wanted)) == sorted(str(x) for x in got if x is None or x % 50 == 0)
+    assert len(got) + len(rest) == 5000 and len(got) < len(wanted) + 5
+    none = common.marked(rows, F.xxhash64("id"), some.where("false"), F.xxhash64("k"))
+    assert none[0].isEmpty() and none[1].count() == 5000
